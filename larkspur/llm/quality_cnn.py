@@ -27,9 +27,9 @@ from .shared import free_name
 from .words import text_buffers
 
 WIDTH, FILTERS, CHUNK, CLASSES = 8, 48, 512, 128
-TRAIN_DOCS, EPOCHS, BATCH, RATE, SEED_LENGTH = 2000, 6, 32, 0.01, 5
+TRAIN_DOCS, EPOCHS, BATCH, RATE, SEED_LENGTH = 3000, 6, 32, 0.01, 5
 #: A document is kept at this probability or above.
-KEEP = 0.5
+KEEP = 0.4
 
 _CLASS = np.array([b if b < 128 else 14 + b % 18 for b in range(256)], np.int32)
 
