@@ -1,27 +1,46 @@
-"""The corpus pipeline: stages that turn documents into packed training sequences."""
+"""The corpus pipeline: stages that turn documents into packed training sequences.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. Each but the last returns the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import shared, substring_dedup
+from larkspur.llm import best_fit_packing, minhash_dedup, quality_cnn, shared, substring_dedup
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on their labels, doesn't reject."""
+    return quality_cnn.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash_dedup.keep_one(docs)
 
-def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 50 words and more that an earlier document has."""
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words and more that an earlier one has."""
     return substring_dedup.remove_repeats(docs)
 
 
-STAGES = [("substring dedup", drop_repeats)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Which bytes of which document lie where in which sequence."""
+    return best_fit_packing.pack(docs)
+
+
+STAGES = [("quality classifier", keep_good), ("MinHash near-dedup", drop_near_copies), ("substring dedup", cut_repeats), ("best-fit packing", pack)]
 
 #: Training, sketches and matching in rounds have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on the documents of a folder, each result written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = shared.materialize(docs)
-    return docs
+    paths: list[str] = []
+    for _, stage in STAGES[:-1]:
+        docs, path = shared.store(stage(spark, docs, sf_dir))
+        shared.discard(spark, *paths)
+        paths = [path]
+    return STAGES[-1][1](spark, docs, sf_dir)
