@@ -47,6 +47,13 @@ def discard(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2000 rows, so that long texts don't fill the memory of Python workers; a session with fewer keeps them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 2000:
+        spark.conf.set(name, "2000")
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint if so many rows of that size are few bytes; beyond that Spark joins by shuffling."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

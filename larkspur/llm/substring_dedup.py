@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import buckets, discard, free_name, store
-from .words import U64, mix, sliding, text_hashes, words_of
+from .words import U64, mix, sliding, words_of
 
 WINDOW, SPAN = 50, 26
 #: Cells for each key expected, and the most cells of one row of the sketch; beyond that it filters less but loses nothing.
@@ -145,7 +145,7 @@ def _gather(window: int, span: int, bits: int, sketch, n_buckets: int):
         tables = [np.frombuffer(x, np.uint8) for x in sketch.value]
         parts = _Parts()
         for b in batches:
-            ids, ths = _ids(b.column(1)), text_hashes(b.column(0))
+            ids, ths = _ids(b.column(1)), b.column(2).to_numpy()
             for w in words_of(b.column(0)):
                 keys, whole = _keys(w, window, span)
                 at = np.flatnonzero(whole)
@@ -228,7 +228,7 @@ def _spans_frame(docs: DataFrame, window: int, span: int, text: str, doc_id: str
     spark = docs.sparkSession
     if not 0 < span <= window:
         raise ValueError("span must be between 1 and window")
-    slim = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    slim = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"))
     size = slim.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     keys = size / 6 * 2 / (window - span + 2)
     bits = int(np.clip(np.ceil(np.log2(max(1, keys * CELLS_PER_KEY))), CHUNK_BITS, np.log2(MOST_CELLS)))
@@ -307,7 +307,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, span: int = SPAN, text
     spans = _spans_frame(docs, window, span, text, doc_id).where("not kept").groupBy("doc", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     doc, th, cuts = (free_name(docs, x) for x in ("cut_doc", "cut_th", "cut_spans"))
     spans = spans.toDF(doc, th, cuts)
-    keyed = with_text_hash(docs, text, th)
+    keyed = docs.withColumn(th, F.xxhash64(text))
     key = F.coalesce(keyed[doc_id].cast("long"), F.lit(NULL_ID))
     joined = keyed.join(spans, (key == spans[doc]) & (keyed[th] == spans[th]), "left").select(*[keyed[c] for c in docs.columns], spans[cuts])
     order = [text, cuts, *[c for c in docs.columns if c != text]]
@@ -317,13 +317,3 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, span: int = SPAN, text
     if n_chars in docs.columns:
         changed = changed.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
     return joined.where(F.col(cuts).isNull()).select(*docs.columns).union(changed.select(*docs.columns))
-
-
-def with_text_hash(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """A column with :func:`larkspur.llm.words.text_hashes` of the text."""
-
-    @F.arrow_udf("long")
-    def hashed(x: pa.Array) -> pa.Array:
-        return pa.array(text_hashes(x))
-
-    return docs.withColumn(name, hashed(F.col(text)))

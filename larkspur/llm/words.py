@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -123,20 +123,6 @@ def words_of(column: pa.Array) -> Iterator[Words]:
         yield Words(a, b - a, data, at, starts, ends, np.searchsorted(starts, at), hashes)
 
 
-def text_hashes(column: pa.Array) -> np.ndarray:
-    """A signed 64-bit hash of the bytes of each text; null has the hash of the empty text."""
-    offsets, raw = text_buffers(column)
-    out = np.zeros(len(offsets) - 1, np.uint64)
-    for a, b in split_rows(offsets):
-        at = offsets[a : b + 1] - offsets[a]
-        data = raw[offsets[a] : offsets[b]]
-        power, inverse = powers(_BASE, len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-        out[a:b] = mix((total[at[1:]] - total[at[:-1]]) * inverse[at[:-1]] + np.diff(at).astype(np.uint64))
-    return out.view(np.int64)
-
-
 def sliding(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
     """op over each w consecutive values, by doubling."""
     if len(x) < w:
