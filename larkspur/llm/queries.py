@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_ann, best_fit_packing, bpe, histogram_sharding, maxent_lm, minhash_dedup, quality_cnn, shared, substring_dedup
+from . import additive_ann, best_fit_packing, bpe, chat_tools, histogram_sharding, maxent_lm, minhash_dedup, mjpeg, quality_cnn, shared, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op2_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tools.link(chat_tools.exchanges(_table(spark, sf_dir, "conversations")), chat_tools.REPLY)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -30,6 +34,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mjpeg.clips(mjpeg.films(_table(spark, sf_dir, "embeddings")))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_tools": chat_tools.ORACLE}
