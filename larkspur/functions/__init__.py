@@ -1,0 +1 @@
+"""Functions of expressions and of Spark columns."""
