@@ -5,8 +5,11 @@ automaton, and takes it only if it is compatible with the token before it: a pai
 gives just these two. If not, the next shorter token is tried, and where none is left the last token is taken back. Places
 known to lead nowhere are marked, so the work is linear, and the result is that of the merges. Pairs judged are kept in a table.
 
-The vocabulary is given as ranks, ids in order of merging, with the pattern that cuts a text into pieces; nothing is trained. A
-document is cut at single spaces first, which never changes its pieces; equal parts are encoded once a task.
+The vocabulary is given as ranks, ids in order of merging, with the pattern that cuts a text into pieces; nothing is trained. For
+the usual pattern, texts are first cut, over whole slices of a column at once, at places where a piece ends in any case: before white
+space that follows a word, after line ends, and before ASCII punctuation that follows an ASCII letter or digit. Equal parts, told by a hash of
+64 bits, are encoded once. The tokens of a slice are decoded and held against its bytes, so a collision of hashes can't go unseen: such a
+slice is encoded text by text.
 
 Defined results: a null text has null tokens and decodes to null; an empty one has none and decodes to the empty text; other columns are ignored or pass through.
 """
@@ -24,12 +27,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import free_name
-from .words import text_buffers
+from .words import U64, mix, powers, split_rows, text_buffers
 
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Parts of texts remembered by a task.
-REMEMBERED = 400_000
+#: Parts of texts remembered by a task, and bytes of text encoded at once.
+REMEMBERED, SLICE = 400_000, 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_BYTE = np.random.default_rng(20240502).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+
+
+def _set(*codes: object) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for c in codes:
+        out[c] = True
+    return out
+
+
+_SPACE, _CONTROL = _set(slice(9, 14), 32), _set(slice(28, 32))
+_ALNUM, _PUNCTUATION = _set(slice(48, 58), slice(65, 91), slice(97, 123)), _set(slice(33, 48), slice(58, 65), slice(91, 97), slice(123, 127))
+#: Bytes that may begin, and that may be the first of three of, white space beyond ASCII.
+_WIDE, _WIDE3 = _set(0xC2, 0xE1, 0xE2, 0xE3), _set(0xE1, 0xE2, 0xE3)
+
+
+def cuts(raw: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where parts begin in rows of text laid end to end, each row beginning one."""
+    cut = np.zeros(len(raw), bool)
+    cut[rows[:-1][rows[:-1] < len(raw)]] = True
+    before, at = raw[:-1], raw[1:]
+    wide = np.zeros(len(before), bool)
+    wide[1:] = (raw[:-2] == 0xC2) & ((before[1:] == 0xA0) | (before[1:] == 0x85))
+    wide[2:] |= _WIDE3[raw[:-3]]
+    cut[1:] |= _SPACE[at] & ~(_SPACE[before] | _CONTROL[before] | wide)
+    cut[1:] |= _SPACE[before] & (before != 32) & ~(_SPACE[at] | _CONTROL[at] | _WIDE[at])
+    cut[1:] |= _ALNUM[before] & _PUNCTUATION[at]
+    return np.flatnonzero(cut)
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -51,13 +83,14 @@ class Encoder:
             self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.shorter = [next((self.by_bytes[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.by_bytes), -1) for t in tokens]
-        self.merged: dict[tuple[int, int], int] = {}
+        self.merged: dict[int, int] = {}
         self.parts: list[tuple[int, int]] = []
-        self.judged: dict[tuple[int, int], bool] = {}
+        self.judged: dict[int, bool] = {}
         for i, t in enumerate(tokens):
             self.parts.append(self._halves(i, t))
         self.judged.clear()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[int, tuple[int, ...]] = {}
+        self.decoder = Decoder(tokens)
 
     def _halves(self, i: int, token: bytes) -> tuple[int, int]:
         """The two lower tokens that merge into this one; itself twice if there are none."""
@@ -65,49 +98,45 @@ class Encoder:
         while a >= 0:
             b = self.by_bytes.get(token[self.lengths[a] :], i)
             if a < i and b < i and self._judge(a, b):
-                self.merged[a, b] = i
+                self.merged[a << 32 | b] = i
                 return a, b
             a = self.shorter[a]
         return i, i
 
     def _judge(self, a: int, b: int) -> bool:
         """Undo merges on both sides of the border, latest first: no earlier merge may join tokens across it."""
-        limit = 1 << 60
+        limit, parts, merged = 1 << 60, self.parts, self.merged
         while True:
-            if self.merged.get((a, b), limit) < limit:
+            if merged.get(a << 32 | b, limit) < limit:
                 return False
             if a > b:
-                limit, a = a, self.parts[a][1]
+                limit, a = a, parts[a][1]
                 if a == limit:
-                    limit, b = b + 1, self.parts[b][0]
+                    limit, b = b + 1, parts[b][0]
                     if b + 1 == limit:
                         return True
             else:
-                limit, b = b + 1, self.parts[b][0]
+                limit, b = b + 1, parts[b][0]
                 if b + 1 == limit:
-                    limit, a = a, self.parts[a][1]
+                    limit, a = a, parts[a][1]
                     if a == limit:
                         return True
 
     def compatible(self, a: int, b: int) -> bool:
-        found = self.judged.get((a, b))
+        found = self.judged.get(a << 32 | b)
         if found is None:
-            if len(self.judged) > 4_000_000:
+            if len(self.judged) > REMEMBERED:
                 self.judged.clear()
-            found = self.judged[a, b] = self._judge(a, b)
+            found = self.judged[a << 32 | b] = self._judge(a, b)
         return found
 
     def piece(self, raw: bytes) -> list[int]:
         """The tokens of one piece."""
-        whole = self.by_bytes.get(raw)
         n = len(raw)
-        if n == 1 and whole is not None:
-            return [whole]
         longest = [-1] * (n + 1)
-        for end, i in self.automaton.iter(raw.decode("latin-1")):
-            at = end + 1 - self.lengths[i]
-            if longest[at] < 0 or self.lengths[longest[at]] < self.lengths[i]:
-                longest[at] = i
+        lengths = self.lengths
+        for end, i in self.automaton.iter(raw.decode("latin-1")):  # matches come by their ends: the last one that begins at a place is its longest
+            longest[end + 1 - lengths[i]] = i
         open_ = bytearray(b"\1") * (n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
@@ -129,29 +158,36 @@ class Encoder:
                 token = self.shorter[token]
         return out
 
-    def part(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.piece(p.encode()) for p in self.pattern.findall(text)))
-
-    def encode(self, text: str) -> np.ndarray:
-        known = self.known
-        first, *others = text.split(" ")
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.piece(p.encode()) for p in self.pattern.findall(text)))
+
+    def encode_rows(self, rows: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the tokens of each row of text begin, and all tokens."""
+        if not len(raw):
+            return np.zeros(len(rows), np.int64), np.zeros(0, np.int32)
+        starts = cuts(raw, rows) if self.pattern.pattern == PATTERN else np.unique(rows[:-1][np.diff(rows) > 0])
+        ends = np.append(starts[1:], len(raw))
+        power, inverse = powers(_BASE, len(raw))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * power, out=total[1:])
+        hashes, first, at = np.unique(mix((total[ends] - total[starts]) * inverse[starts]), return_index=True, return_inverse=True)
+        blob, known, found = raw.tobytes(), self.known, []
         if len(known) > REMEMBERED:
             known.clear()
-        if "" in others or not first:  # spaces in a row, or at an end: whole stretches of white space are cut together
-            keys = self._safe(text)
-        else:
-            keys = [first, *[" " + x for x in others]]
-        out = []
-        for k in keys:
-            ids = known.get(k)
+        for h, a, b in zip(hashes.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
+            ids = known.get(h)
             if ids is None:
-                ids = known[k] = self.part(k)
-            out.append(ids)
-        return np.fromiter(chain.from_iterable(out), np.int32)
-
-    @staticmethod
-    def _safe(text: str) -> list[str]:
-        return regex.split(r"(?<=\S)(?= \S)", text)
+                ids = known[h] = tuple(self.encode(blob[a:b].decode()))
+            found.append(ids)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        size, begin = sizes[at], (np.cumsum(sizes) - sizes)[at]
+        token_at = np.concatenate([[0], np.cumsum(size)])
+        tokens = flat[np.repeat(begin - token_at[:-1], size) + np.arange(token_at[-1])]
+        if not np.array_equal(self.decoder.decode(tokens)[0], raw):
+            each = [self.encode(blob[a:b].decode()) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+            return np.cumsum([0, *map(len, each)]), np.fromiter(chain.from_iterable(each), np.int32)
+        return token_at[np.searchsorted(starts, rows)], tokens
 
 
 class Decoder:
@@ -171,7 +207,6 @@ class Decoder:
 
 
 _encoders: dict[tuple, Encoder] = {}
-_decoders: dict[int, Decoder] = {}
 
 
 def _encoder(tokens: list[bytes], pattern: str) -> Encoder:
@@ -188,11 +223,14 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
     @F.arrow_udf("array<int>")
     def tokens(column: pa.Array) -> pa.Array:
         e = _encoder(shared.value, pattern)
-        parts = [e.encode(x.as_py()) if x.is_valid else None for x in column]
-        at = np.cumsum([0, *(0 if p is None else len(p) for p in parts)]).astype(np.int32)
-        flat = np.concatenate([p for p in parts if p is not None] or [np.zeros(0, np.int32)])
-        null = pa.array([p is None for p in parts], pa.bool_())
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(flat), mask=null)
+        rows, raw = text_buffers(column)
+        at, parts = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+        for a, b in split_rows(rows, SLICE):
+            begin, ids = e.encode_rows(rows[a : b + 1] - rows[a], raw[rows[a] : rows[b]])
+            at.append(begin[1:] + at[-1][-1])
+            parts.append(ids)
+        null = pa.array(column.is_null().to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(parts)), mask=null)
 
     return docs.withColumn(name, tokens(F.col(text)))
 
