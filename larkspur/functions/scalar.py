@@ -78,9 +78,12 @@ def list_quantile_disc(a: Column, q: float) -> Column:
 
 
 def list_var(a: Column, ddof: int) -> Column:
-    c = numbers(a)
-    n = F.size(c)
-    mean = F.aggregate(c, F.lit(0.0), lambda x, v: x + v) / n
-    squares = F.aggregate(c, F.lit(0.0), lambda x, v: x + (v - mean) * (v - mean))
+    """In one pass: count, mean and sum of squared differences are carried along."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(s: Column, v: Column) -> Column:
+        n, delta = s["n"] + 1, v.cast("double") - s["mean"]
+        return F.struct(n.alias("n"), (s["mean"] + delta / n).alias("mean"), (s["squares"] + delta * (v.cast("double") - s["mean"] - delta / n)).alias("squares"))
+
     d = min(ddof, 1)
-    return F.when(n > d, squares / (n - d))
+    return F.aggregate(numbers(a), start, step, lambda s: F.when(s["n"] > d, s["squares"] / (s["n"] - d)))

@@ -378,11 +378,11 @@ class Dt(_Namespace):
     strftime = to_string
 
     def epoch(self, time_unit: str = "us") -> Expr:
-        """Days and seconds are doubles."""
+        """Days and seconds are doubles; milliseconds are rounded."""
         f = {
             "ns": lambda a: _micros(a) * 1000,
             "us": _micros,
-            "ms": lambda a: F.floor(_micros(a) / 1000),
+            "ms": lambda a: F.floor((_micros(a) + 500) / 1000),
             "s": lambda a: F.floor(_micros(a) / _MICROS).cast("double"),
             "d": lambda a: F.floor(_micros(a) / (_MICROS * 86400)).cast("double"),
         }.get(time_unit)

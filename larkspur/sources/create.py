@@ -8,6 +8,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..session import active
 
@@ -16,8 +17,12 @@ def _arrow(columns: Mapping[str, Iterable[Any]]) -> DataFrame:
     """Columns of unequal lengths are filled with nulls."""
     lists = {k: list(v) for k, v in columns.items()}
     longest = max(map(len, lists.values()), default=0)
-    table = pa.table({k: pa.array(v + [None] * (longest - len(v))) for k, v in lists.items()})
-    return active().createDataFrame(table)
+    return _of_arrow(pa.table({k: pa.array(v + [None] * (longest - len(v))) for k, v in lists.items()}))
+
+
+def _of_arrow(table: pa.Table) -> DataFrame:
+    """Timestamps without a zone stay so."""
+    return active().createDataFrame(table, schema=from_arrow_schema(table.schema, True))
 
 
 def to_spark(data: Any, orient: str = "col") -> DataFrame:
@@ -29,7 +34,7 @@ def to_spark(data: Any, orient: str = "col") -> DataFrame:
     if isinstance(data, LazyFrame):
         return data.to_spark()
     if isinstance(data, pa.Table):
-        return active().createDataFrame(data)
+        return _of_arrow(data)
     if isinstance(data, Mapping):
         return _arrow(data)
     if isinstance(data, np.ndarray):
