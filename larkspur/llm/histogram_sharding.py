@@ -3,7 +3,7 @@
 Keys are encoded as bytes that sort like the key columns, followed by a hash of the text that parts rows of equal keys. In each round, tasks
 propose keys inside the open intervals of splitters, at a rate that gives some for each interval, and count the exact bytes below
 every probe; counts are added over the partitions and intervals narrow. A splitter is settled when a probe is within the
-tolerance of its target or no key is left between its bounds. Rows then move once, straight to their shard.
+tolerance of its target or no key is left between its bounds; an interval that gave no key is asked at a higher rate. Rows then move once, straight to their shard.
 
 Defined results: nulls in key columns sort first; a null text has no bytes; fully equal rows are never parted, so a shard can exceed the tolerance
 by them only; an empty table has no rows; the shard column gets a free name.
@@ -81,13 +81,15 @@ def splitters(keyed: DataFrame, shards: int, total: int, rows: int, tolerance: f
     high: list[tuple[str, int]] = [("", total)] * len(goals)
     chosen: list[str | None] = [None] * len(goals)
     slack, mean, seed = tolerance * total / max(1, shards), max(1.0, total / max(1, rows)), 0
+    #: How often an interval gave no key: few keys may have all its bytes, so its rate rises until all keys in it are proposed.
+    empty: dict[tuple[str, str], int] = {}
     while any(c is None for c in chosen):
         spans: dict[str, tuple[str, float]] = {}
         for i, c in enumerate(chosen):
             if c is None:
                 inside = max(1.0, (high[i][1] - low[i][1]) / mean)
                 many = sum(1 for j in range(len(goals)) if low[j] == low[i] and chosen[j] is None)
-                spans[low[i][0]] = high[i][0], probes * many / inside
+                spans[low[i][0]] = high[i][0], probes * many / inside * 8.0 ** empty.get((low[i][0], high[i][0]), 0)
         found = keyed.mapInArrow(_propose([(a, *b) for a, b in sorted(spans.items())], seed), "key string").distinct().collect()
         seed += 1
         tried = sorted(r["key"] for r in found)
@@ -96,6 +98,10 @@ def splitters(keyed: DataFrame, shards: int, total: int, rows: int, tolerance: f
             for r in keyed.mapInArrow(_count(tried), "at long, bytes long").groupBy("at").agg(F.sum("bytes").alias("bytes")).collect():
                 below[r["at"]] = r["bytes"]
             below = np.cumsum(below)
+        for bounds in {(a, b) for a, (b, _) in spans.items()}:
+            a, z = bisect_right(tried, bounds[0]), bisect_left(tried, bounds[1]) if bounds[1] else len(tried)
+            if a >= z:
+                empty[bounds] = empty.get(bounds, 0) + 1
         for i, goal in enumerate(goals):
             if chosen[i] is not None:
                 continue

@@ -230,7 +230,7 @@ def test_clips_of_films(spark):
     df = spark.createDataFrame(rows, "media_id long, media binary").selectExpr("*", "1 AS clip", "2 AS start_s")
     out = defaultdict(list)
     for r in mjpeg.clips(df).collect():
-        out[r["media_id"]].append(tuple(r)[1:])
+        out[r["media_id"]].append((r["clip"], r["first_frame"], r["end_frame"], round(r["start_s"], 6), round(r["end_s"], 6)))
     expected = [(0, 0, 12, 0.0, 1.2), (1, 12, 20, 1.2, 2.0)]
     assert sorted(out[1]) == sorted(expected * 2) and sorted(out[2]) == expected
     assert not {3, 4, 5, 6} & set(out)
