@@ -7,7 +7,7 @@ known to lead nowhere are marked, so the work is linear, and the result is that
 
 The vocabulary is given as ranks, ids in order of merging, with the pattern that cuts a text into pieces; nothing is trained. For
 the usual pattern, texts are first cut, over whole slices of a column at once, at places where a piece ends in any case: before white
-space that follows a word, after line ends, and before ASCII punctuation that follows an ASCII letter or digit. Equal parts, told by a hash of
+space that follows a word, after a single line end, and before ASCII punctuation that follows an ASCII letter or digit. Equal parts, told by a hash of
 64 bits, are encoded once. The tokens of a slice are decoded and held against its bytes, so a collision of hashes can't go unseen: such a
 slice is encoded text by text.
 
@@ -59,7 +59,8 @@ def cuts(raw: np.ndarray, rows: np.ndarray) -> np.ndarray:
     wide[1:] = (raw[:-2] == 0xC2) & ((before[1:] == 0xA0) | (before[1:] == 0x85))
     wide[2:] |= _WIDE3[raw[:-3]]
     cut[1:] |= _SPACE[at] & ~(_SPACE[before] | _CONTROL[before] | wide)
-    cut[1:] |= _SPACE[before] & (before != 32) & ~(_SPACE[at] | _CONTROL[at] | _WIDE[at])
+    # of longer white space the last character goes apart only if a word follows
+    cut[1:] |= _SPACE[before] & (before != 32) & ~(_SPACE[at] | _CONTROL[at] | _WIDE[at]) & cut[:-1]
     cut[1:] |= _ALNUM[before] & _PUNCTUATION[at]
     return np.flatnonzero(cut)
 
