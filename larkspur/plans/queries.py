@@ -582,7 +582,7 @@ def catalogue_aggregates(t: Tables) -> lk.LazyFrame:
 
 
 @_query("""
-SELECT vec_id, round(list_cosine_similarity(embedding, list_reverse(embedding))::DOUBLE, 4) AS a, round(list_distance(embedding, list_reverse(embedding))::DOUBLE, 3) AS b, round(list_inner_product(embedding, embedding)::DOUBLE, 4) AS c,
+SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 4) AS a, round(list_distance(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 4) AS b, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS c,
     len(list_slice(embedding, 3, 9)) AS d, len(list_resize(embedding, 70)) AS e, len(list_intersect(embedding, list_reverse(embedding))) AS f, list_position(embedding, embedding[5]) AS g, len(list_concat(embedding, embedding)) AS h,
     list_has_any(embedding, embedding[1:2]) AS i, list_has_all(embedding, embedding[1:2]) AS j, round(list_reduce(embedding, lambda x, y: x + y)::DOUBLE, 3) AS k, range(2, 6) AS l, list_grade_up(embedding)[1] AS m
 FROM embeddings""")
@@ -590,7 +590,7 @@ def catalogue_lists(t: Tables) -> lk.LazyFrame:
     e, half = col("embedding"), "half_away_from_zero"
     r = lambda x, n, d=4: x.cast("Float64").round(d, mode=half).alias(n)
     return t.embeddings.select(
-        "vec_id", r(fn.list_cosine_similarity(e, e.list.reverse()), "a"), r(fn.list_distance(e, e.list.reverse()), "b", 3), r(fn.list_inner_product(e, e), "c"), _long(fn.list_slice(e, 3, 9).list.len(), "d"), _long(fn.list_resize(e, 70).list.len(), "e"),
+        "vec_id", r(fn.list_cosine_similarity(e, e.list.reverse()), "a"), r(fn.list_distance(e, e.list.reverse()), "b"), r(fn.list_inner_product(e, e), "c"), _long(fn.list_slice(e, 3, 9).list.len(), "d"), _long(fn.list_resize(e, 70).list.len(), "e"),
         _long(fn.list_intersect(e, e.list.reverse()).list.len(), "f"), _long(fn.list_position(e, e.list.get(4)), "g"), _long(fn.list_concat(e, e).list.len(), "h"), fn.list_has_any(e, fn.list_slice(e, 1, 2)).alias("i"),
         fn.list_has_all(e, fn.list_slice(e, 1, 2)).alias("j"), r(fn.list_reduce(e, lambda x, y: x + y), "k", 3), fn.range(2, 6).cast("array<bigint>").alias("l"), _long(fn.list_grade_up(e).list.get(0), "m"),
     )
