@@ -1,10 +1,16 @@
-"""A hashed maximum-entropy language model with a class-factored softmax.
+"""A hashed maximum-entropy language model with a class-factored softmax, and counts of all rarer words below it.
 
 Outcomes are the most frequent words of the corpus and buckets of the hashes of all other words, in classes of equal size by frequency; the
-probability of a word is that of its class times that of the word in its class. Both are softmaxes over sums of rows of
+probability of an outcome is that of its class times that of the outcome in its class. Both are softmaxes over sums of rows of
 hashed features: bias, last word, the word before it (skip), the last two words, and the last with the third last (skip). Words are counted
 exactly over all documents.
 
+A bucket is divided into cells by hash, more of them the larger the corpus. A word in a bucket has the bucket's probability times the cell's share of
+the bucket's words times its own probability in the cell. That is interpolated from counts after the last two words, after the last word
+and without context; one is taken off each count after a context, so what occurs once in the corpus predicts nothing, and what is taken off goes to the shorter context.
+All words that occur in the corpus, and their contexts, count. Cells are kept apart: each is counted, and its words scored, by one task, and nothing of
+them is broadcast but their sizes. In a cell, words and contexts are told apart by 32 bits of their hashes. Words that the corpus doesn't have share the probability of one occurrence.
+
 Training goes over all documents once, in ``ROUNDS`` parts. In each, every training task updates its own copy of the weights by sparse
 gradient steps over batches of words, then the differences are averaged by the words they come from and the weights are sent out again.
 Scoring adds log probabilities in sparse batches.
@@ -19,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +38,8 @@ OUTCOMES = CLASSES * PER_CLASS
 START = OUTCOMES
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
 ROUNDS, STEP, BATCH = 3, 0.6, 8192
+CELL_BYTES = 1 << 24
+CELLS = 2
 
 
 def _count(n_buckets: int):
@@ -165,11 +175,13 @@ def fresh() -> tuple[np.ndarray, np.ndarray]:
     return np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, PER_CLASS), np.float32)
 
 
-def train_on(columns: Iterator[pa.Array], outcomes: Outcomes, a: np.ndarray, b: np.ndarray, step: float) -> int:
-    """Gradient steps on a copy of the weights, in place; returns the number of words."""
+def train_on(columns: Iterator[pa.Array], outcomes: Outcomes, a: np.ndarray, b: np.ndarray, step: float, sizes: np.ndarray) -> int:
+    """Gradient steps on a copy of the weights, in place, and words counted by cell; returns the number of words."""
     n, seen = 0, [np.zeros(len(t), np.float32) for t in (a, b)]
     for column in columns:
         for w in words_of(column):
+            rare = w.hashes[outcomes.of(w.hashes) >= outcomes.first_other]
+            sizes += np.bincount((rare % U64(len(sizes))).astype(np.int64), minlength=len(sizes))
             for _, cls, word, fa, fb in steps(w, outcomes):
                 for table, squares, rows, target in ((a, seen[0], fa, cls), (b, seen[1], fb, word)):
                     p, _ = _softmax(table, rows, target)
@@ -181,10 +193,11 @@ def train_on(columns: Iterator[pa.Array], outcomes: Outcomes, a: np.ndarray, b:
 
 def _learn(shared, step: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, a0, b0 = shared.value
-        a, b = a0.copy(), b0.copy()
-        n = train_on((x.column(0) for x in batches), Outcomes(words), a, b, step)
+        words, a0, b0, cells = shared.value
+        a, b, sizes = a0.copy(), b0.copy(), np.zeros(cells, np.int64)
+        n = train_on((x.column(0) for x in batches), Outcomes(words), a, b, step, sizes)
         if n:
+            yield pa.RecordBatch.from_arrays([pa.array([CELLS], pa.int32()), pa.array([n], pa.int64()), pa.array([sizes.tobytes()], pa.binary())], names=["part", "n", "change"])
             for part, (new, old) in enumerate(((a, a0), (b, b0))):
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([(new - old).astype(np.float16).tobytes()], pa.binary())], names=["part", "n", "change"])
 
@@ -192,6 +205,9 @@ def _learn(shared, step: float):
 
 
 def _average(key: tuple, table: pa.Table) -> pa.Table:
+    if key[0].as_py() == CELLS:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("change"))
+        return pa.table({"part": pa.array([CELLS], pa.int32()), "change": pa.array([total.tobytes()], pa.binary())})
     n = table.column("n").to_numpy()
     total = 0
     for k, x in zip(n, table.column("change"), strict=True):
@@ -199,24 +215,29 @@ def _average(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "change": pa.array([total.tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, class table, word table), from all documents."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """(word hashes, class table, word table, words by cell, the texts, from which the cells are counted when they are used), from all documents."""
+    spark, texts = docs.sparkSession, docs.select("text")
     words = vocabulary(docs)
+    cells = OTHER * (int((docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // (CELL_BYTES * OTHER)) + 1)
     a, b = fresh()
+    sizes = np.zeros(cells, np.int64)
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast((words, a, b))
-        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).select("text").coalesce(spark.sparkContext.defaultParallelism)
+        shared = spark.sparkContext.broadcast((words, a, b, cells))
+        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).coalesce(spark.sparkContext.defaultParallelism)
         change = part.mapInArrow(_learn(shared, STEP / (1 + k / 2)), "part int, n long, change binary").groupBy("part").applyInArrow(_average, "part int, change binary")
         for r in change.collect():
+            if r["part"] == CELLS:
+                sizes += np.frombuffer(r["change"], np.int64)
+                continue
             table = b if r["part"] else a
             table += np.frombuffer(r["change"], np.float32).reshape(table.shape)
         shared.destroy()
-    return words, a, b
+    return words, a, b, sizes, texts
 
 
 def log_probabilities(column: pa.Array, outcomes: Outcomes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words and the log probability of each text."""
+    """The words and the log probability of the outcomes of each text."""
     n, total = np.zeros(len(column), np.int64), np.zeros(len(column))
     for w in words_of(column):
         n[w.first : w.first + w.rows] = np.diff(w.word_at)
@@ -226,18 +247,123 @@ def log_probabilities(column: pa.Array, outcomes: Outcomes, a: np.ndarray, b: np
     return n, total
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def rare_words(column: pa.Array, outcomes: Outcomes, cells: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """(cell, its words in each text, the words with the contexts of one and two words) of each cell that the texts have."""
+    found = []
+    for w in words_of(column):
+        place = np.arange(len(w.hashes)) - np.repeat(w.word_at[:-1], np.diff(w.word_at))
+        one, two = (np.where(place >= k, np.roll(w.hashes, k), U64(0)) for k in (1, 2))
+        rare = np.flatnonzero(outcomes.of(w.hashes) >= outcomes.first_other)
+        both = mix(one[rare] * U64(1_000_003) + two[rare])
+        found.append(((w.hashes[rare] % U64(cells)).astype(np.int32), w.first + w.row_of_word()[rare], np.stack([x >> U64(32) for x in (w.hashes[rare], one[rare], both)], 1).astype(np.uint32)))
+    if not found:
+        return
+    cell, row, values = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(cell, kind="stable")
+    edges = np.searchsorted(cell[order], np.arange(cells + 1))
+    for k in np.flatnonzero(np.diff(edges)):
+        o = order[edges[k] : edges[k + 1]]
+        yield int(k), np.bincount(row[o], minlength=len(column)).astype(np.uint32), np.ascontiguousarray(values[o].T).tobytes()
+
+
+def _after(context: np.ndarray, word: np.ndarray, n: int, shorter: np.ndarray) -> np.ndarray:
+    """Probabilities of words after contexts, of which the first n are counted; those without the context are given."""
+    key = context.astype(np.uint64) << U64(32) | word
+    known, at, count = np.unique(key, return_inverse=True, return_counts=True)
+    if n < len(key):
+        count = np.bincount(at[:n], minlength=len(known))
+    group = known >> U64(32)
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    length = np.diff(np.append(begin, len(known)))
+    total, kinds = np.add.reduceat(count, begin), np.add.reduceat((count > 0).astype(np.int64), begin)
+    left = np.repeat(np.where(total > 0, kinds / np.maximum(total, 1), 1.0), length)
+    own = np.maximum(count - 1, 0) / np.maximum(np.repeat(total, length), 1)
+    return own[at[len(key) - len(shorter) :]] + left[at[len(key) - len(shorter) :]] * shorter
+
+
+def in_cell(counted: np.ndarray, scored: np.ndarray | None = None) -> np.ndarray:
+    """Log probabilities in their cell of the words scored, those counted unless given; both have rows of words, last words and last two words."""
+    n = counted.shape[1]
+    word, one, both = counted if scored is None else np.concatenate([counted, scored], 1)
+    m = n if scored is None else scored.shape[1]
+    known, at = np.unique(word, return_inverse=True)
+    p = np.maximum(np.bincount(at[:n], minlength=len(known)), 1)[at[len(at) - m :]] / (n + 1)
+    for context in (one, both):
+        p = _after(context, word, n, p)
+    return np.log(p)
+
+
+def _values(blocks: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros((3, 0), np.uint32), *(np.frombuffer(x.as_buffer(), np.uint32).reshape(3, -1) for x in blocks)], 1)
+
+
+def _score_cell(own: bool):
+    """From the words of a cell to sums of their log probabilities by text; own: the texts scored are those counted. Rows of texts go by."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return table.select(["batch", "place", "doc_id", "n_words", "log_prob", "rows"])
+        counted = None if own else _values(table.filter(pc.is_null(table.column("rows"))).column("words"))
+        table = table.filter(pc.is_valid(table.column("rows")))
+        sums: list[bytes] = []
+        if table.num_rows:
+            scored = _values(table.column("words"))
+            logs, at = in_cell(scored) if own else in_cell(counted, scored), 0
+            for x in table.column("rows"):
+                by_row = np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64)
+                row = np.repeat(np.arange(len(by_row)), by_row)
+                sums.append(np.bincount(row, logs[at : at + len(row)], len(by_row)).tobytes())
+                at += len(row)
+        none = pa.nulls(table.num_rows)
+        kinds = table.schema
+        return pa.table({"batch": table.column("batch")} | {c: none.cast(kinds.field(c).type) for c in ("place", "doc_id", "n_words", "log_prob")} | {"rows": pa.array(sums, pa.binary())})
+
+    return run
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """The texts of a batch with what their cells gave."""
+    texts = table.filter(pc.is_valid(table.column("place"))).combine_chunks()
+    total, place = texts.column("log_prob").to_numpy().copy(), texts.column("place").to_numpy()
+    sums = sorted(x.as_py() for x in table.column("rows") if x.is_valid)  # in one order, so that equal runs give equal sums
+    for x in sums:
+        total += np.frombuffer(x)[place]
+    return pa.table({"doc_id": texts.column("doc_id"), "n_words": texts.column("n_words"), "log_prob": pa.array(total)})
+
+
+def score(docs: DataFrame, model: tuple | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, log_prob, perplexity) of every document, by a model trained on all of them unless one is given."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(slim))
+    own = model is None
+    *weights, corpus = train(slim) if own else model
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(weights))
+    doc_kind = slim.schema["doc_id"].dataType.simpleString()
+    kind = f"cell int, batch long, place int, doc_id {doc_kind}, n_words long, log_prob double, rows binary, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, a, b = shared.value
-        outcomes = Outcomes(words)
-        for x in batches:
+        words, a, b, sizes = shared.value
+        outcomes, cells = Outcomes(words), len(sizes)
+        bucket = sizes.reshape(-1, OTHER).sum(0)
+        share = np.log((sizes + 1) / np.tile(bucket + cells // OTHER, cells // OTHER))
+        for k, x in enumerate(batches):
+            batch, rows = (TaskContext.get().partitionId() << 32) + k, x.num_rows
             n, total = log_probabilities(x.column(1), outcomes, a, b)
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(n), pa.array(total)], names=["doc_id", "n_words", "log_prob"])
+            for cell, by_row, values in rare_words(x.column(1), outcomes, cells):
+                total += by_row * share[cell]
+                yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([batch]), pa.nulls(1, pa.int32()), pa.nulls(1, x.column(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array([by_row.tobytes()], pa.binary()), pa.array([values], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, -1 - batch % cells), pa.int32()), pa.array(np.full(rows, batch)), pa.array(np.arange(rows), pa.int32()), x.column(0), pa.array(n), pa.array(total), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())], names=names)
 
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    scored = slim.mapInArrow(run, f"doc_id {kind}, n_words long, log_prob double")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, _, _, sizes = shared.value
+        outcomes = Outcomes(words)
+        for x in batches:
+            for cell, _, values in rare_words(x.column(0), outcomes, len(sizes)):
+                yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([values], pa.binary())], names=["cell", "words"])
+
+    names = ["cell", "batch", "place", "doc_id", "n_words", "log_prob", "rows", "words"]
+    parts = slim.mapInArrow(run, kind)
+    if not own:
+        parts = parts.unionByName(corpus.mapInArrow(count, "cell int, words binary"), allowMissingColumns=True)
+    sums = parts.groupBy("cell").applyInArrow(_score_cell(own), f"batch long, place int, doc_id {doc_kind}, n_words long, log_prob double, rows binary")
+    scored = sums.groupBy("batch").applyInArrow(_add, f"doc_id {doc_kind}, n_words long, log_prob double")
     return scored.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_prob") / F.col("n_words"))))

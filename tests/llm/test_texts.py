@@ -118,6 +118,42 @@ def test_language_model_is_a_distribution(spark):
     assert total == pytest.approx(1, abs=1e-4) and len(outcomes.sorted) == 4
 
 
+
+def test_words_of_a_bucket_have_probabilities_of_their_own(spark):
+    often = [f"often{k}" for k in range(960)]
+    texts = [" ".join(often * 5)] * 2 + [" ".join(["ahead gold"] * 3 + [f"rare{k}" for k in range(3000)])]
+    model = maxent_lm.train(documents(spark, texts))
+    rare = [f"rare{k}" for k in range(3000)] + ["gold", "ahead"]
+    p = {w: np.exp(r["log_prob"]) for w, r in zip(rare, sorted(maxent_lm.score(documents(spark, rare), model).collect(), key=lambda r: r["doc_id"]), strict=True)}
+    assert sum(p.values()) < 1 and p["gold"] == pytest.approx(3 * min(p[w] for w in rare if maxent_lm_bucket(w) == maxent_lm_bucket("gold")), rel=1e-6)
+
+
+def maxent_lm_bucket(word):
+    (w,) = maxent_lm.words_of(maxent_lm.pa.array([word]))
+    return int(w.hashes[0] % np.uint64(maxent_lm.OTHER))
+
+
+def test_probabilities_in_a_cell_add_up_to_one():
+    rng = np.random.default_rng(1)
+    counted = rng.integers(0, 6, (3, 200)).astype(np.uint32)
+    for one, both in ((1, 2), (3, 77), (99, 99)):
+        scored = np.array([[w, one, both] for w in [*range(6), 1000]], np.uint32).T
+        assert np.exp(maxent_lm.in_cell(counted, scored)).sum() == pytest.approx(1)
+    assert np.allclose(maxent_lm.in_cell(counted), maxent_lm.in_cell(counted, counted))
+
+
+def test_language_model_grows_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "CELL_BYTES", 256)
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(40)]
+    twice = texts + texts[:4]
+    out = {}
+    for r in maxent_lm.score(documents(spark, twice)).collect():
+        out[r["doc_id"]] = r["perplexity"]
+    assert len(out) == 44 and len(maxent_lm.train(documents(spark, twice))[3]) > len(maxent_lm.train(documents(spark, texts[:4]))[3])
+    assert max(out[k] for k in (0, 1, 2, 3, 40, 41, 42, 43)) < 0.5 * min(out[k] for k in range(4, 40))
+
+
 SCHEMAS = {"f": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer", "minimum": 1}}}}
 
 
