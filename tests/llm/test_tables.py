@@ -237,6 +237,25 @@ def test_clips_of_films(spark):
     assert mjpeg.clips(df.limit(0)).count() == 0
 
 
+def test_cuts_between_shots_of_like_brightness():
+    rng = np.random.default_rng(8)
+    tiles = {"one": [60, 80, 100, 120, 140] * 13, "other": [60, 80, 100, 120, 180] * 13}  # four fifths of the samples are alike
+    order = rng.permutation(64)
+    frames = [np.kron(np.array(tiles[s])[order].reshape(8, 8), np.ones((8, 8))) + rng.integers(-2, 3, (64, 64)) for s in ["one"] * 10 + ["other"] * 9]
+    raw = mjpeg.write_avi([mjpeg.encode_jpeg(f) for f in frames], width=64, height=64)
+    assert [r[1:3] for r in mjpeg.clips_of(raw)] == [(0, 10), (10, 19)]
+
+
+def test_cuts_of_colour_only(monkeypatch):
+    def decode(raw):
+        rng = np.random.default_rng(raw[0])
+        return np.stack([c + rng.integers(-3, 4, (32, 32)) for c in (120, 90 if raw[1] else 160, 128)], 2).astype(np.uint8)
+
+    monkeypatch.setattr(mjpeg, "decode_jpeg", decode)
+    raw = mjpeg.write_avi([bytes([k, k >= 7]) for k in range(16)])
+    assert [r[1:3] for r in mjpeg.clips_of(raw)] == [(0, 7), (7, 16)]
+
+
 def test_registered_queries_and_pipeline(spark):
     import __spark_entry__
     import corpus_pipeline
