@@ -11,12 +11,14 @@ space that follows a word, after a single line end, and before ASCII punctuation
 64 bits, are encoded once. The tokens of a slice are decoded and held against its bytes, so a collision of hashes can't go unseen: such a
 slice is encoded text by text.
 
-Defined results: a null text has null tokens and decodes to null; an empty one has none and decodes to the empty text; other columns are ignored or pass through.
+Defined results: a null text has null tokens and decodes to null; an empty one has none and decodes to the empty text; ids that are null or not in the vocabulary
+decode to the replacement character each; a very long text is encoded in slices that end where a part ends; other columns pass through, and a result gets a longer name where one has its.
 """
 
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
@@ -30,6 +32,7 @@ from .shared import free_name
 from .words import U64, mix, powers, split_rows, text_buffers
 
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Used unless the parameter names another file; it is read on the driver.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Parts of texts remembered by a task, and bytes of text encoded at once.
 REMEMBERED, SLICE = 400_000, 1 << 20
@@ -162,6 +165,36 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.piece(p.encode()) for p in self.pattern.findall(text)))
 
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the tokens of each text begin, and all tokens."""
+        rows, raw = text_buffers(column)
+        at, parts = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+        for a, b in split_rows(rows, SLICE):
+            if rows[b] - rows[a] <= 2 * SLICE:
+                begin, ids = self.encode_rows(rows[a : b + 1] - rows[a], raw[rows[a] : rows[b]])
+            else:  # one long text
+                found = [self.encode_rows(np.array([0, z - y]), raw[y:z])[1] for y, z in self._slices(raw, int(rows[a]), int(rows[b]))]
+                ids = np.concatenate(found)
+                begin = np.array([0, len(ids)])
+            at.append(begin[1:] + at[-1][-1])
+            parts.append(ids)
+        return np.concatenate(at), np.concatenate(parts)
+
+    def _slices(self, raw: np.ndarray, a: int, z: int) -> Iterator[tuple[int, int]]:
+        """Ranges of a text, each ending where a part ends."""
+        most = SLICE
+        while a < z:
+            end = min(a + most, z)
+            if end < z:
+                found = cuts(raw[a:end], np.array([0, end - a])) if self.pattern.pattern == PATTERN else np.zeros(0, np.int64)
+                found = found[found > 3]
+                if not len(found):
+                    most *= 2
+                    continue
+                end = a + int(found[-1])
+            yield a, end
+            a, most = end, SLICE
+
     def encode_rows(self, rows: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the tokens of each row of text begin, and all tokens."""
         if not len(raw):
@@ -192,12 +225,18 @@ class Encoder:
 
 
 class Decoder:
-    """All tokens' bytes one after another, and where each begins."""
+    """All tokens' bytes one after another, and where each begins; the last is what an unknown id stands for."""
 
     def __init__(self, tokens: list[bytes]) -> None:
+        tokens = [*tokens, "\ufffd".encode()]
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.at = np.cumsum([0, *map(len, tokens)])
 
+    def known(self, ids: np.ndarray) -> np.ndarray:
+        """The ids, with that of the replacement character for any that isn't in the vocabulary."""
+        last = len(self.at) - 2
+        return np.where((ids >= 0) & (ids < last), ids, last)
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of the tokens, and where each token's begin."""
         size = self.at[ids + 1] - self.at[ids]
@@ -208,6 +247,14 @@ class Decoder:
 
 
 _encoders: dict[tuple, Encoder] = {}
+_decoders: dict[int, Decoder] = {}
+
+
+def _decoder(tokens: list[bytes]) -> Decoder:
+    key = hash(tuple(tokens))
+    if key not in _decoders:
+        _decoders[key] = Decoder(tokens)
+    return _decoders[key]
 
 
 def _encoder(tokens: list[bytes], pattern: str) -> Encoder:
@@ -223,17 +270,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
 
     @F.arrow_udf("array<int>")
     def tokens(column: pa.Array) -> pa.Array:
-        e = _encoder(shared.value, pattern)
-        rows, raw = text_buffers(column)
-        at, parts = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
-        for a, b in split_rows(rows, SLICE):
-            begin, ids = e.encode_rows(rows[a : b + 1] - rows[a], raw[rows[a] : rows[b]])
-            at.append(begin[1:] + at[-1][-1])
-            parts.append(ids)
+        at, ids = _encoder(shared.value, pattern).encode_column(column)
         null = pa.array(column.is_null().to_numpy(zero_copy_only=False))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(parts)), mask=null)
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=null)
 
-    return docs.withColumn(name, tokens(F.col(text)))
+    return docs.withColumn(free_name(docs, name), tokens(F.col(text)))
 
 
 def decode(docs: DataFrame, vocabulary: str = VOCABULARY, tokens: str = "tokens", name: str = "decoded") -> DataFrame:
@@ -242,17 +283,17 @@ def decode(docs: DataFrame, vocabulary: str = VOCABULARY, tokens: str = "tokens"
 
     @F.arrow_udf("string")
     def texts(column: pa.Array) -> pa.Array:
-        d = Decoder(shared.value)
+        d = _decoder(shared.value)
         out = []
         for x in column:
-            out.append(d.decode(x.values.to_numpy(zero_copy_only=False))[0].tobytes().decode("utf-8", "replace") if x.is_valid else None)
+            out.append(d.decode(d.known(x.values.fill_null(-1).to_numpy(zero_copy_only=False)))[0].tobytes().decode("utf-8", "replace") if x.is_valid else None)
         return pa.array(out, pa.string())
 
-    return docs.withColumn(name, texts(F.col(tokens)))
+    return docs.withColumn(free_name(docs, name), texts(F.col(tokens)))
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, tokens, decoded)."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    encoded = encode(slim, vocabulary, name=free_name(slim, "tokens")).select("doc_id", "tokens")
+    encoded = encode(slim, vocabulary).select("doc_id", "tokens")
     return decode(encoded, vocabulary).select("doc_id", F.size("tokens").alias("n_tokens"), "tokens", "decoded")

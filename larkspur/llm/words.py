@@ -15,6 +15,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 18
+#: Powers are remembered up to so many.
+KEPT_POWERS = 1 << 22
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -35,7 +37,8 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if known is None or len(known[0]) < n:
         m = max(n, SLICE_BYTES + 64)
         known = tuple(np.cumprod(np.append(U64(1), np.full(m - 1, b, np.uint64))) for b in (base, pow(base, -1, 1 << 64)))
-        _powers[base] = known
+        if m <= KEPT_POWERS:
+            _powers[base] = known
     return known[0][:n], known[1][:n]
 
 
@@ -102,24 +105,48 @@ def split_rows(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[i
         a = min(b, n)
 
 
+def _hashed(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Beginnings, ends and hashes of the words of rows that begin at ``at``."""
+    ink = np.zeros(len(data) + 1, bool)
+    np.logical_not(_SPACE[data], out=ink[:-1])
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    begin = ink[:-1].copy()
+    begin[1:] &= ~ink[:-2] | edge[1:-1]
+    final = ink[:-1] & (~ink[1:] | edge[1:])
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(final) + 1
+    power, inverse = powers(_BASE, len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
+    return starts, ends, mix((total[ends] - total[starts]) * inverse[starts])
+
+
+def _blocks(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of a long text that end at white space."""
+    a, most = 0, SLICE_BYTES
+    while a < len(data):
+        b = min(a + most, len(data))
+        if b < len(data):
+            space = np.flatnonzero(_SPACE[data[a:b]])
+            if not len(space):
+                most *= 2
+                continue
+            b = a + int(space[-1]) + 1
+        yield a, b
+        a, most = b, SLICE_BYTES
+
+
 def words_of(column: pa.Array) -> Iterator[Words]:
-    """The words of a text column, in slices of rows."""
+    """The words of a text column, in slices of rows. A text longer than a slice is hashed block by block."""
     offsets, raw = text_buffers(column)
     for a, b in split_rows(offsets):
         lo, hi = offsets[a], offsets[b]
         data, at = raw[lo:hi], offsets[a : b + 1] - lo
-        ink = np.zeros(len(data) + 1, bool)
-        np.logical_not(_SPACE[data], out=ink[:-1])
-        edge = np.zeros(len(data) + 1, bool)
-        edge[at] = True
-        begin = ink[:-1].copy()
-        begin[1:] &= ~ink[:-2] | edge[1:-1]
-        final = ink[:-1] & (~ink[1:] | edge[1:])
-        starts, ends = np.flatnonzero(begin), np.flatnonzero(final) + 1
-        power, inverse = powers(_BASE, len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * inverse[starts])
+        if len(data) <= 2 * SLICE_BYTES:
+            starts, ends, hashes = _hashed(data, at)
+        else:
+            parts = [(x, *_hashed(data[x:z], np.array([0, z - x]))) for x, z in _blocks(data)]
+            starts, ends, hashes = (np.concatenate(p) for p in zip(*((x + s, x + e, h) for x, s, e, h in parts), strict=True))
         yield Words(a, b - a, data, at, starts, ends, np.searchsorted(starts, at), hashes)
 
 

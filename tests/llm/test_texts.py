@@ -186,3 +186,31 @@ def test_conversations_equal_the_sql(spark):
     cursor = con.execute(chat_tools.ORACLE)
     at = [[d[0] for d in cursor.description].index(c) for c in names]
     assert sorted((tuple(r[c] for c in names) for r in mine.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in cursor.fetchall()), key=repr)
+
+
+def test_ids_out_of_the_vocabulary_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, [64, -1, None, 10**9, 64]), (2, []), (3, None)], "doc_id long, tokens array<int>").selectExpr("*", "'mine' AS decoded")
+    out = {r["doc_id"]: r for r in bpe.decode(rows).collect()}
+    assert out[1]["decoded_"] == "a���a" and out[2]["decoded_"] == "" and out[3]["decoded_"] is None and out[1]["decoded"] == "mine"
+    docs = documents(spark, ["a"], "tokens")
+    (r,) = bpe.encode(docs).collect()
+    assert r["tokens"] == "tokens" and r["tokens_"] == [64]
+
+
+def test_long_texts_are_cut_where_parts_end(exact, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE", 64)
+    e = bpe.Encoder(bpe.read_ranks(bpe.VOCABULARY))
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["word ", "x", "\n", "é", " 中", ", ", "  ", "a's ", "longerword"]) for _ in range(400)) for _ in range(20)] + ["z" * 500]
+    at, ids = e.encode_column(bpe.pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [exact.encode_ordinary(t) for t in texts]
+
+
+def test_words_of_long_texts_are_those_of_short_ones(monkeypatch):
+    from larkspur.llm import words
+
+    text = "  some words of  a text\n" * 40 + "one" * 200 + " end"
+    (whole,) = words.words_of(words.pa.array([text]))
+    monkeypatch.setattr(words, "SLICE_BYTES", 50)
+    (parts,) = words.words_of(words.pa.array([text]))
+    assert all(np.array_equal(getattr(whole, c), getattr(parts, c)) for c in ("starts", "ends", "hashes", "word_at"))
