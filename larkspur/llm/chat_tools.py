@@ -8,13 +8,17 @@ conversation; calls are ordered so that each follows what it depends on, and oth
 Defined results: messages with null or malformed text, or without calls, make none; calls and results without identifier are never linked; of
 several calls with one identifier the first is linked, later ones are ``duplicate``; of several results the first counts and later ones are ``extra``;
 a result without call is ``orphan``, a call without result ``unanswered``; calls in or behind a cycle, or that refer to no call, come last with an error; a null conversation
-is one of its own; rows that repeat make calls each; other columns are ignored.
+is one of its own; rows that repeat make calls each; other columns are ignored. Arguments that aren't JSON (NaN, infinities and numbers beyond doubles aren't) or are
+nested deeper than ``DEEPEST`` have an error and the value null; of equal keys the last counts; lone surrogates are written as escapes; a schema
+with a keyword or type that isn't known is a ValueError before anything runs.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
+import re
 from typing import Any
 
 import pyarrow as pa
@@ -32,12 +36,43 @@ REPLY = {
         "additionalProperties": False,
     }
 }
-_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": float, "integer": int}
+#: Keywords of schemas that are checked, and those that only describe.
+CHECKED = frozenset("type enum const properties required additionalProperties items minLength maxLength minItems maxItems minimum maximum exclusiveMinimum exclusiveMaximum pattern allOf anyOf oneOf not".split())
+SAID = frozenset("title description default examples $schema $id $comment deprecated readOnly writeOnly format".split())
+#: Arguments nested deeper have an error and the value null.
+DEEPEST = 100
+
+
+def check_schema(schema: Any, at: str = "$") -> None:
+    """Raise ValueError at what :func:`violations` doesn't know."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: a schema must be an object")
+    if strange := sorted(schema.keys() - CHECKED - SAID):
+        raise ValueError(f"{at}: keywords that aren't supported: {', '.join(strange)}")
+    kinds = schema.get("type", [])
+    if strange := [k for k in ([kinds] if isinstance(kinds, str) else kinds) if k not in _TYPES]:
+        raise ValueError(f"{at}: no such type: {strange[0]}")
+    if "pattern" in schema:
+        re.compile(schema["pattern"])
+    for k, x in schema.get("properties", {}).items():
+        check_schema(x, f"{at}.{k}")
+    for word in ("items", "not", "additionalProperties"):
+        if word in schema and not (word == "additionalProperties" and isinstance(schema[word], bool)):
+            check_schema(schema[word], f"{at}.{word}")
+    for word in ("allOf", "anyOf", "oneOf"):
+        for x in schema.get(word, []):
+            check_schema(x, f"{at}.{word}")
+
+
+def printable(text: str) -> str:
+    """Lone surrogates, which UTF-8 can't hold, as escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def canonical(value: Any) -> str:
-    """JSON with sorted keys, no space and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no space and characters as they are; whole numbers exactly, others by the fewest digits that read back."""
+    return printable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def _is(value: Any, kind: str) -> bool:
@@ -48,14 +83,28 @@ def _is(value: Any, kind: str) -> bool:
     return isinstance(value, _TYPES[kind])
 
 
+def same(a: Any, b: Any) -> bool:
+    """Equality of JSON values: true isn't 1, but 1.0 is."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(x, b[k]) for k, x in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    return a == b and isinstance(a, bool) == isinstance(b, bool)
+
+
 def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
-    """Where a value breaks a schema of the usual keywords (type, enum, const, properties, required, additionalProperties, items, lengths and bounds)."""
+    """Where a value breaks a schema of the keywords in ``CHECKED``."""
     kinds = schema.get("type")
     if kinds and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: not of type {kinds}"]
     out = []
-    if "enum" in schema and value not in schema["enum"] or "const" in schema and value != schema["const"]:
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]) or "const" in schema and not same(value, schema["const"]):
         out.append(f"{at}: not an allowed value")
+    for x in schema.get("allOf", []):
+        out += violations(value, x, at)
+    for word, many in (("anyOf", range(1, 1 << 30)), ("oneOf", range(1, 2)), ("not", range(1))):
+        if word in schema and sum(not violations(value, x, at) for x in (schema[word] if word != "not" else [schema[word]])) not in many:
+            out.append(f"{at}: breaks {word}")
     if isinstance(value, dict):
         known = schema.get("properties", {})
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
@@ -74,6 +123,13 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
             out.append(f"{at}: below {least}")
         if size > schema.get(most, size):
             out.append(f"{at}: above {most}")
+        if least == "minimum":
+            if "exclusiveMinimum" in schema and size <= schema["exclusiveMinimum"]:
+                out.append(f"{at}: below exclusiveMinimum")
+            if "exclusiveMaximum" in schema and size >= schema["exclusiveMaximum"]:
+                out.append(f"{at}: above exclusiveMaximum")
+    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
+        out.append(f"{at}: breaks pattern")
     if isinstance(value, list) and "items" in schema:
         for k, x in enumerate(value):
             out += violations(x, schema["items"], f"{at}[{k}]")
@@ -106,11 +162,31 @@ def topological(needs: list[set[int]]) -> list[int]:
     return out
 
 
+def _constant(text: str) -> float:
+    raise ValueError(text)
+
+
+def _real(text: str) -> float:
+    return x if math.isfinite(x := float(text)) else _constant(text)
+
+
+def _deep(value: Any) -> bool:
+    level = [value]
+    for _ in range(DEEPEST):
+        level = [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+        if not level:
+            return False
+    return True
+
+
 def _parse(text: str | None) -> tuple[Any, list[str]]:
     try:
-        return json.loads(text if text is not None else "null"), []
+        value = json.loads(text if text is not None else "null", parse_constant=_constant, parse_float=_real)
     except ValueError:
         return None, ["$: not JSON"]
+    except RecursionError:
+        return None, ["$: nested too deep"]
+    return (None, ["$: nested too deep"]) if _deep(value) else (value, [])
 
 
 def order_calls(rows: list[dict], schemas: dict[str, dict]) -> list[dict]:
@@ -137,12 +213,14 @@ def order_calls(rows: list[dict], schemas: dict[str, dict]) -> list[dict]:
             if k not in placed and not missing[k]:
                 errors.append("depends on itself or on an unplaced call")
         record = {"arguments": value, "id": r["call_id"], "name": r["name"], "result": r["result"]}
-        out.append({"position": position, "call_id": r["call_id"], "name": r["name"], "status": r["status"], "valid": not errors and r["status"] not in ("orphan", "extra"), "errors": errors, "json": canonical(record)})
+        out.append({"position": position, "call_id": r["call_id"], "name": r["name"], "status": r["status"], "valid": not errors and r["status"] not in ("orphan", "extra"), "errors": [printable(e) for e in errors], "json": canonical(record)})
     return out
 
 
 def link(messages: DataFrame, schemas: dict[str, dict], conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, position, call_id, name, status, valid, errors, json) of each call, and of each result that isn't linked."""
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     slim = messages.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     made = slim.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.from_json("text", CALLS)["tool_calls"]).alias("place", "c")).where("c is not null")
     calls = made.select("conv_id", "turn", "place", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))

@@ -214,3 +214,18 @@ def test_words_of_long_texts_are_those_of_short_ones(monkeypatch):
     monkeypatch.setattr(words, "SLICE_BYTES", 50)
     (parts,) = words.words_of(words.pa.array([text]))
     assert all(np.array_equal(getattr(whole, c), getattr(parts, c)) for c in ("starts", "ends", "hashes", "word_at"))
+
+
+def test_odd_arguments_and_schemas():
+    call = lambda text: {"turn": 0, "place": 0, "call_id": "a", "name": "f", "arguments": text, "result": None, "status": "unanswered"}
+    one = lambda text: chat_tools.order_calls([call(text)], {"f": {}})[0]
+    for text, error in (("[" * 200_000, "nested too deep"), ("[" * 150 + "]" * 150, "nested too deep"), ('{"x": NaN}', "not JSON"), ("[1e999]", "not JSON"), ("{", "not JSON")):
+        assert one(text)["errors"] == [f"$: {error}"] and '"arguments":null' in one(text)["json"]
+    lone = one('{"\\ud800": "\\udfff", "b": 1.0}')
+    assert json.loads(lone["json"])["arguments"] == {"\ud800": "\udfff", "b": 1.0} and lone["json"].encode() and lone["valid"]
+    v = chat_tools.violations
+    assert v(True, {"enum": [1]}) and not v(1.0, {"enum": [1]}) and v("abc", {"pattern": "^z"}) and v(3, {"exclusiveMaximum": 3}) and not v(3, {"exclusiveMinimum": 2})
+    assert v(1, {"oneOf": [{"type": "integer"}, {"minimum": 0}]}) and not v(1, {"anyOf": [{"type": "string"}, {"minimum": 0}]}) and v(1, {"not": {"type": "integer"}}) and v("é", {"allOf": [{"maxLength": 0}]})
+    for schema in ({"type": "text"}, {"properties": {"x": {"dependentRequired": {}}}}, {"items": {"type": ["string", "whole"]}}):
+        with pytest.raises(ValueError):
+            chat_tools.check_schema(schema)
