@@ -5,17 +5,19 @@ document; positions are taken in chunks that overlap by a filter's width, so no
 chunk; the maximum over chunks and the mean over chunks are combined by a logistic unit into one probability. A
 convolution is four lookups of rows in tables indexed by pairs of classes.
 
-Half of the filters start as byte strings that tell the classes apart in the training sample, the others at random, and all are
+Two thirds of the filters start as byte strings that tell the classes apart in the training sample, the others at random, and all are
 learned by back-propagation through the maxima. The sample is bounded: at most ``TRAIN_DOCS`` labelled documents,
-taken in the order of a hash of their id. A document is good if its quality is 1 and it isn't toxic.
+taken in the order of a hash of their id, and of their strings the ``STRINGS`` that tell most are looked at. A document is good if its quality is 1
+and it isn't toxic. One task trains on the sample; only the weights, some 200 kB, go to the driver and from there to all tasks.
 
 Defined results: null and empty texts have the probability 0 and are not kept; labels that are null or without document are not
-used; of repeated labels of a document any bad one makes it bad; without labelled documents of both kinds every document with text has
-the probability 0.5 and is kept; other columns pass through, whatever their names.
+used; of repeated labels of a document any bad one makes it bad; of documents with one id at most ``TRAIN_DOCS`` rows are trained on; without labelled
+documents of both kinds every document with text has the probability 0.5 and is kept; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,9 @@ from .shared import free_name
 from .words import text_buffers
 
 WIDTH, FILTERS, CHUNK, CLASSES = 8, 48, 512, 128
-TRAIN_DOCS, EPOCHS, BATCH, RATE, SEED_LENGTH = 3000, 6, 32, 0.01, 5
+TRAIN_DOCS, EPOCHS, BATCH, RATE, SEED_LENGTH, STRINGS = 3000, 6, 32, 0.01, 5, 6000
+#: The strings of the sample are counted in so many parts, so that only a part of them is sorted at once.
+SORTED_PARTS = 8
 #: A document is kept at this probability or above.
 KEEP = 0.4
 
@@ -92,41 +96,69 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def seeds(texts: list[np.ndarray], good: np.ndarray, many: int, length: int = SEED_LENGTH) -> list[bytes]:
-    """Byte strings that tell bad documents from good ones, chosen one by one to cover bad documents that the others don't."""
-    found, owner = [], []
+def _tellers(texts: list[np.ndarray], good: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the strings that tell bad documents from good ones best, their worth, and which of the bad documents have them."""
     power = (np.uint64(CLASSES) ** np.arange(length, dtype=np.uint64))[::-1]
+    parts: list[list[np.ndarray]] = [[] for _ in range(SORTED_PARTS)]
+    owners: list[list[np.ndarray]] = [[] for _ in range(SORTED_PARTS)]
     for d, raw in enumerate(texts):
         c = _CLASS[raw].astype(np.uint64)
         if len(c) >= length:
             u = np.unique(sum(c[j : len(c) - length + 1 + j] * power[j] for j in range(length)))
-            found.append(u)
-            owner.append(np.full(len(u), d))
-    if not found:
+            part = u % np.uint64(SORTED_PARTS)
+            for p in range(SORTED_PARTS):
+                own = u[part == p]
+                parts[p].append(own)
+                owners[p].append(np.full(len(own), d, np.int32))
+    n_bad, n_good = int((~good).sum()), int(good.sum())
+    best: list[tuple[np.ndarray, ...]] = []
+    has: list[tuple[np.ndarray, np.ndarray]] = []
+    for p in range(SORTED_PARTS):
+        code, owner = np.concatenate([np.zeros(0, np.uint64), *parts[p]]), np.concatenate([np.zeros(0, np.int32), *owners[p]])
+        parts[p] = owners[p] = []
+        order = np.argsort(code, kind="stable")
+        code, owner = code[order], owner[order]
+        begin = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+        if not len(begin):
+            continue
+        g = np.add.reduceat(good[owner].astype(np.int64), begin)
+        b = np.diff(np.append(begin, len(code))) - g
+        rate_b, rate_g = (b + 0.2) / (n_bad + 1), (g + 0.2) / (n_good + 1)
+        worth = np.log(rate_b / rate_g)
+        score = np.where(b * (n_good + 1) > g * (n_bad + 1), (rate_b - rate_g) * worth, -1.0)
+        pick = np.argsort(-score, kind="stable")[:most]
+        pick = pick[score[pick] > 0]
+        best.append((code[begin[pick]], worth[pick], score[pick]))
+        has += [(owner[begin[k] : begin[k] + b[k] + g[k]].copy(), code[begin[k]]) for k in pick]
+    if not best:
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, n_bad), bool)
+    codes, worth, score = (np.concatenate(x) for x in zip(*best, strict=True))
+    pick = np.lexsort((codes, -score))[:most]
+    of_bad, there = np.where(good, -1, np.cumsum(~good) - 1), np.zeros((len(pick), n_bad), bool)
+    for row, k in enumerate(pick):
+        at = of_bad[has[k][0]]
+        there[row, at[at >= 0]] = True
+    return codes[pick], worth[pick], there
+
+
+def seeds(texts: list[np.ndarray], good: np.ndarray, many: int, length: int = SEED_LENGTH, most: int = STRINGS) -> list[bytes]:
+    """Byte strings that tell bad documents from good ones, chosen one by one to cover bad documents that the others don't."""
+    codes, worth, has = _tellers(texts, good, length, most)
+    if not len(codes):
         return []
-    code, owner = np.concatenate(found), np.concatenate(owner)
-    values, inverse = np.unique(code, return_inverse=True)
-    g = np.bincount(inverse, good[owner], len(values))
-    b = np.bincount(inverse, ~good[owner], len(values))
-    rate_b, rate_g = (b + 0.2) / ((~good).sum() + 1), (g + 0.2) / (good.sum() + 1)
-    score = (rate_b - rate_g) * np.log(rate_b / rate_g)
-    pick = np.argsort(-score, kind="stable")[:6000]
-    pick = pick[b[pick] * (good.sum() + 1) > g[pick] * ((~good).sum() + 1)]
-    place = np.full(len(values), -1)
-    place[pick] = np.arange(len(pick))
-    has = np.zeros((len(pick), len(texts)), bool)
-    of = place[inverse]
-    has[of[of >= 0], owner[of >= 0]] = True
-    has, worth = has[:, ~good], np.log(rate_b[pick] / rate_g[pick])
     need, out = np.ones(has.shape[1]), []
-    while len(out) < min(many, len(pick)):
-        gain = (has @ need) * worth
+    covers = np.concatenate([has[a : a + 256] @ need for a in range(0, len(has), 256)])  # in parts: a product makes doubles of its bits
+    while len(out) < min(many, len(codes)):
+        gain = covers * worth
         k = int(gain.argmax())
         if gain[k] <= 0:
             break
-        need[has[k]] *= 0.5
+        touched = np.flatnonzero(has[k])
+        for a in range(0, len(has), 256):
+            covers[a : a + 256] -= has[a : a + 256, touched] @ (need[touched] * 0.5)
+        need[touched] *= 0.5
         worth[k] = 0
-        s = bytes(int(values[pick[k]] // np.uint64(CLASSES) ** np.uint64(j) % np.uint64(CLASSES)) for j in reversed(range(length)))
+        s = bytes(int(codes[k] // np.uint64(CLASSES) ** np.uint64(j) % np.uint64(CLASSES)) for j in reversed(range(length)))
         if not any(s[i:] == o[: length - i] or o[i:] == s[: length - i] for o in out for i in (0, 1, 2)):
             out.append(s)
     return out
@@ -187,15 +219,27 @@ def train(texts: list[np.ndarray], good: np.ndarray, epochs: int = EPOCHS, filte
     return model
 
 
+def _trained(epochs: int):
+    """One row with the weights, or none without texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((d, t, bad) for b in batches for d, t, bad in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        if rows:
+            model = train([np.frombuffer(t.encode(), np.uint8) for _, t, _ in rows], np.array([not bad for _, _, bad in rows], bool), epochs)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, epochs: int = EPOCHS) -> Model:
-    """Train on at most ``most`` labelled documents, chosen by a hash of their id."""
+    """Train on at most ``most`` labelled documents, chosen by a hash of their id, in one task."""
     sure = labels.where("doc_id is not null and quality is not null")
     bad = F.max(((F.col("quality") != 1) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int"))
-    chosen = sure.groupBy("doc_id").agg(bad.alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    texts = [np.frombuffer(r["text"].encode(), np.uint8) for r in rows]
-    return train(texts, np.array([not r["bad"] for r in rows], bool), epochs)
+    first = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = sure.groupBy("doc_id").agg(bad.alias("bad")).orderBy(*first).limit(most)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy(*first, "text").limit(most)
+    found = rows.select("doc_id", "text", "bad").mapInArrow(_trained(epochs), "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([], np.zeros(0, bool))
 
 
 def score(docs: DataFrame, model: Model, name: str = "probability") -> DataFrame:
