@@ -169,6 +169,10 @@ class Schema(dict):
     def from_struct(cls, struct: T.StructType) -> Schema:
         return cls({f.name: from_spark(f.dataType, f.metadata) for f in struct})
 
+    @classmethod
+    def from_frame(cls, frame: object) -> Schema:
+        return cls(frame.schema)
+
     def names(self) -> list[str]:
         return list(self)
 

@@ -221,9 +221,11 @@ class Expr:
         return self._map(scalar.divide, other)
 
     def floordiv(self, other: Any) -> Expr:
+        """Integers lose the fraction; of other numbers it is the quotient as it is. Division by zero is an error."""
+
         def make(s: Scope, a: Column, b: Column) -> Column:
             if any(isinstance(t, (T.FractionalType,)) for t in (s.type_of(a), s.type_of(b))):
-                return F.floor(a / b)
+                return a.cast("double") / b.cast("double")
             return scalar.int_divide(a, b)
 
         return self._typed(make, other)

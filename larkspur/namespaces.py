@@ -183,8 +183,10 @@ class Str(_Namespace):
 
 class List(_Namespace):
     def _lambda(self, expr: Expr, f: Callable[[Column, Callable[[Column], Column]], Column]) -> Expr:
+        within = as_expr(expr)
+
         def make(s: Scope) -> Column:
-            return f(self._e.column(s), lambda x: expr.column(replace(s, element=x)))
+            return f(self._e.column(s), lambda x: within.column(replace(s, element=x)))
 
         return self._e._with(make)
 

@@ -620,8 +620,11 @@ def catalogue_json_and_maps(t: Tables) -> lk.LazyFrame:
     )
 
 
-@_query()
+@_query(
+    "SELECT event_id, 'POINT (' || regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') || ' ' || user_id || ')' AS text, value AS x, CAST(user_id AS DOUBLE) AS y, round(sqrt(value * value + CAST(user_id AS DOUBLE) * user_id), 6) AS far FROM events"
+)
 def points(t: Tables) -> lk.LazyFrame:
-    """Geometries as well-known binary; the oracle has no spatial functions loaded."""
+    """Geometries as well-known binary; the oracle has no spatial functions loaded, so it works on the numbers."""
     p = fn.st_point(col("value"), col("user_id").cast("Float64"))
-    return t.events.select("event_id", fn.st_astext(p).alias("text"), fn.st_x(p).alias("x"), fn.st_y(p).alias("y"), fn.st_distance(p, fn.st_point(0.0, 0.0)).alias("far"))
+    far = fn.st_distance(p, fn.st_point(0.0, 0.0)).round(6, mode="half_away_from_zero")
+    return t.events.select("event_id", fn.st_astext(p).alias("text"), fn.st_x(p).alias("x"), fn.st_y(p).alias("y"), far.alias("far"))

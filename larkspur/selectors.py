@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import builtins
 import re
 from collections.abc import Callable
 
@@ -61,7 +62,7 @@ def _names(test: Callable[[str], bool]) -> Selector:
 
 
 def by_dtype(*kinds: object) -> Selector:
-    wanted = [k for kind in kinds for k in (kind if isinstance(kind, (list, tuple)) else [kind])]
+    wanted = [k for kind in kinds for k in (kind if isinstance(kind, (builtins.list, tuple)) else [kind])]
     return _types(lambda d: any(d.name == k.__name__ if callable(k) and not isinstance(k, (dtypes.DataType, type)) else d == dtypes.of(k) for k in wanted))
 
 
