@@ -11,7 +11,7 @@ bucket across groups are compared too. Every candidate pair is thus compared exa
 bucket is capped.
 
 Defined results: null and texts without words have no set and are never duplicates; texts of fewer words than a shingle
-match only texts of the same words; a null doc_id sorts first; of a group, the document with the least (doc_id, hash of text) stays, and of rows
+match only texts of the same words; a null doc_id sorts first and is one with the least long; ids that aren't integers are a TypeError; of a group, the document with the least (doc_id, hash of text) stays, and of rows
 equal in both, one; other columns are ignored or passed through, whatever their names.
 """
 
@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buckets, discard, free_name, small, store
-from .substring_dedup import NULL_ID, _ids
+from .shared import NULL_ID, buckets, discard, free_name, integer_id, small, store
 from .words import U64, Words, mix, words_of
 
 SHINGLE, BANDS, BAND_ROWS, THRESHOLD = 3, 50, 4, 0.5
@@ -81,7 +80,7 @@ def _sign(shingle: int, bands: int, rows: int, n_buckets: int):
         known: set[int] = set()
         nodes, keys = [], []
         for b in batches:
-            ids, ths = _ids(b.column(1)), b.column(2).to_numpy()
+            ids, ths = b.column(1).to_numpy(), b.column(2).to_numpy()
             node = np.zeros(len(b), np.int64)
             there = np.zeros(len(b), bool)
             for w in words_of(b.column(0)):
@@ -182,7 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, text: str, doc_id: str, shingle: int, bands: int, band_rows: int, threshold: float) -> tuple[DataFrame, list[str]]:
     """(doc, th, label) of the documents of groups of two rows or more."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"))
+    slim = docs.select(F.col(text).alias("text"), integer_id(docs, doc_id).alias("doc_id"), F.xxhash64(text).alias("th"))
     rows = slim.count()
     n = buckets(spark, rows * bands * 16.0)
     signed, p1 = store(slim.mapInArrow(_sign(shingle, bands, band_rows, n), "bucket int, keys binary, nodes binary, doc long, th long, node long"))
@@ -193,7 +192,7 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, shingle: int, bands: int,
     candidates = members.select("node").distinct()
     chosen = named.join(candidates, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "th")).alias("x")).select("node", F.col("x.doc").alias("doc"), F.col("x.th").alias("th"))
     chosen, p4 = store(chosen)
-    hashed = slim.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
+    hashed = slim.withColumnRenamed("doc_id", "doc")
     pick = hashed.join(small(chosen, chosen.count(), 24), ["doc", "th"]).select("text", "node")
     sets, p5 = store(pick.mapInArrow(_sets(shingle), "node long, els array<long>").dropDuplicates(["node"]))
 
@@ -228,7 +227,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
     gone = found.where(~kept).select("doc", "th").distinct()
     again = found.where(kept).groupBy("doc", "th").count().where("count > 1").select("doc", "th")
     doc, th = free_name(docs, "near_doc"), free_name(docs, "near_th")
-    keyed = docs.withColumn(th, F.xxhash64(text)).withColumn(doc, F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)))
+    keyed = docs.withColumn(th, F.xxhash64(text)).withColumn(doc, integer_id(docs, doc_id))
     left = keyed.join(small(gone.toDF(doc, th), gone.count(), 16), [doc, th], "left_anti")
     repeats = again.count()
     if repeats:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Stands for a null id; a row that has it as its id counts as one without.
+NULL_ID = -(1 << 63)
 BROADCAST_BYTES = 32 << 20
 _own: dict[str, str] = {}
 
@@ -70,3 +73,11 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def integer_id(df: DataFrame, name: str) -> Column:
+    """The ids of a column as longs, ``NULL_ID`` for null."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"the ids in {name} must be integers, not {kind.simpleString()}")
+    return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))

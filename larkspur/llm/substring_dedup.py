@@ -10,7 +10,7 @@ within one map task are settled there, and only the first of each goes on, so th
 sends no more than one row a task.
 
 The first occurrence of a window, by (doc_id, hash of text, position), is kept, every other one is a repeat. Defined results:
-null and empty texts and texts of fewer words than a window have no windows; a null doc_id sorts first; rows equal in both
+null and empty texts and texts of fewer words than a window have no windows; a null doc_id sorts first and is one with the least long; ids that aren't integers are a TypeError; rows equal in both
 doc_id and text count as one document; of text that repeats itself with some period, one period stays; other columns are ignored by
 :func:`repeated_spans` and passed through by :func:`remove_repeats`, whatever their names.
 """
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import buckets, discard, free_name, store
+from .shared import NULL_ID, buckets, discard, free_name, integer_id, store
 from .words import U64, mix, sliding, words_of
 
 WINDOW, SPAN = 50, 26
@@ -32,16 +32,11 @@ WINDOW, SPAN = 50, 26
 CELLS_PER_KEY, MOST_CELLS = 8, 1 << 30
 CHUNK_BITS, ROWS = 22, 2
 _B2 = 0xA24BAED4963EE407
-NULL_ID = -(1 << 63)
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 SPAN_TYPE = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("kept", pa.bool_()), ("s", pa.int32()), ("e", pa.int32())])
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-
-
 def _keys(w, window: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     """The key of each window, and whether the window lies in one row."""
     whole = w.whole(window)
@@ -145,7 +140,7 @@ def _gather(window: int, span: int, bits: int, sketch, n_buckets: int):
         tables = [np.frombuffer(x, np.uint8) for x in sketch.value]
         parts = _Parts()
         for b in batches:
-            ids, ths = _ids(b.column(1)), b.column(2).to_numpy()
+            ids, ths = b.column(1).to_numpy(), b.column(2).to_numpy()
             for w in words_of(b.column(0)):
                 keys, whole = _keys(w, window, span)
                 at = np.flatnonzero(whole)
@@ -228,7 +223,7 @@ def _spans_frame(docs: DataFrame, window: int, span: int, text: str, doc_id: str
     spark = docs.sparkSession
     if not 0 < span <= window:
         raise ValueError("span must be between 1 and window")
-    slim = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"))
+    slim = docs.select(F.col(text).alias("text"), integer_id(docs, doc_id).alias("doc_id"), F.xxhash64(text).alias("th"))
     size = slim.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     keys = size / 6 * 2 / (window - span + 2)
     bits = int(np.clip(np.ceil(np.log2(max(1, keys * CELLS_PER_KEY))), CHUNK_BITS, np.log2(MOST_CELLS)))
@@ -308,7 +303,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, span: int = SPAN, text
     doc, th, cuts = (free_name(docs, x) for x in ("cut_doc", "cut_th", "cut_spans"))
     spans = spans.toDF(doc, th, cuts)
     keyed = docs.withColumn(th, F.xxhash64(text))
-    key = F.coalesce(keyed[doc_id].cast("long"), F.lit(NULL_ID))
+    key = integer_id(keyed, doc_id)
     joined = keyed.join(spans, (key == spans[doc]) & (keyed[th] == spans[th]), "left").select(*[keyed[c] for c in docs.columns], spans[cuts])
     order = [text, cuts, *[c for c in docs.columns if c != text]]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
