@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import additive_ann, best_fit_packing, bpe, chat_tools, histogram_sharding, maxent_lm, minhash_dedup, mjpeg, quality_cnn, shared, substring_dedup
 
@@ -43,7 +44,8 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return additive_ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+    """The queries are the rows whose id is divisible by 20, searched among all rows."""
+    return additive_ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
