@@ -504,7 +504,13 @@ class Expr:
         f = {"min": F.min, "max": F.max, "mean": F.avg}.get(strategy)
         if f is None:
             raise ValueError(f"unknown strategy {strategy!r}")
-        return self._window(lambda s, a: F.coalesce(a, f(a).over(Window.partitionBy(*s.over.partition))))
+
+        def filled(s: Scope, a: Column) -> Column:
+            if s.over.partition or s.df is None:
+                return F.coalesce(a, f(a).over(Window.partitionBy(*s.over.partition)))
+            return F.coalesce(a, s.df.agg(f(a).alias("x")).scalar())  # one value of the whole frame: no task needs all rows
+
+        return self._window(filled)
 
     def is_duplicated(self) -> Expr:
         return self._window(lambda s, a: F.count(F.lit(1)).over(Window.partitionBy(*s.over.partition, a)) > 1)
@@ -630,9 +636,23 @@ class Expr:
         return self._parts(make)
 
     def quantile(self, quantile: float, *, interpolation: bool = True) -> Expr:
+        """Without interpolation, a column of numbers that doubles hold exactly has counts of its values merged; of anything else the values of a group are gathered."""
         if interpolation:
             return self._agg(lambda a: F.percentile(a, F.lit(quantile)))
-        return self._agg(lambda a: scalar.list_quantile_disc(F.collect_list(a), quantile))
+
+        def make(s: Scope) -> Column:
+            inner = replace(s, over=Over())
+            a = self.column(inner)
+            plain = s.name is not None and str(a) == str(quoted(s.name))
+            kind = s.type_of(a) if plain else None
+            if isinstance(kind, (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType)):
+                name = s.name.replace("`", "``")
+                out = F.expr(f"percentile_disc({quantile!r}D) WITHIN GROUP (ORDER BY `{name}`)")
+                return (_over_whole(out, s.over) if s.over.given else out).cast(kind)
+            out = scalar.list_quantile_disc(F.collect_list(a), quantile)
+            return _over_whole(out, s.over) if s.over.given else out
+
+        return self._with(make, kind=Kind.SCALAR)
 
     def all(self) -> Expr:
         return self._agg(F.bool_and)

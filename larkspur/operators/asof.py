@@ -1,6 +1,7 @@
 """As-of joins: each left row with the nearest right row at or before (or after) it, within its keys.
 
-Both sides are united, sorted once by keys and time, and the last right row seen is carried along: one shuffle by the keys, no pairs."""
+Both sides are united, sorted once by keys and time, and the last right row seen is carried along: one shuffle by the keys, no pairs. Without keys the rows are
+parted into ranges of time, up to ``RANGES`` by quantiles, and the last right row of the ranges before goes to each range, a row for each."""
 
 from __future__ import annotations
 
@@ -8,10 +9,16 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..expr import flat, quoted
 
 
+RANGES = 200
+#: Types that have quantiles.
+_SPREAD = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def _by(by: Any, by_left: Any, by_right: Any) -> tuple[list[str], list[str]]:
     both, left, right = flat([by]), flat([by_left]), flat([by_right])
     if both and (left or right):
@@ -41,8 +48,21 @@ def asof(left: DataFrame, right: DataFrame, on: str | None, left_on: str | None,
     a = left.select(quoted(lt).alias("t"), *[quoted(c).alias(n) for c, n in zip(lk, names, strict=True)], F.lit(1).alias("side"), F.struct(*[quoted(c) for c in left.columns]).alias("l"), none(right).alias("r"))
     b = right.filter(quoted(rt).isNotNull()).select(quoted(rt).alias("t"), *[quoted(c).alias(n) for c, n in zip(rk, names, strict=True)], F.lit(0).alias("side"), none(left).alias("l"), F.struct(*[quoted(c) for c in right.columns]).alias("r"))
     back = strategy == "backward"
-    window = Window.partitionBy(*names).orderBy(F.col("t").asc_nulls_first() if back else F.col("t").desc_nulls_first(), "side").rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionAll(b).withColumn("r", F.last("r", ignorenulls=True).over(window)).filter("side = 1")
+    every = a.unionAll(b)
+    ranged = not names and isinstance(every.schema["t"].dataType, _SPREAD)
+    if ranged:
+        borders = every.agg(F.percentile_approx("t", [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("x")).scalar()
+        place = F.size(F.filter("borders", lambda x: x <= F.col("t")))
+        every = every.withColumn("borders", borders).withColumn("range", F.coalesce(place, F.lit(0)) * (1 if back else -1)).drop("borders")
+    window = Window.partitionBy(*(names or ["range"] if ranged else names)).orderBy(F.col("t").asc_nulls_first() if back else F.col("t").desc_nulls_first(), "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = every.withColumn("r", F.last("r", ignorenulls=True).over(window)).filter("side = 1")
+    if ranged:
+        last = (F.max_by if back else F.min_by)("r", "t")
+        ends = every.filter("side = 0").groupBy("range").agg(last.alias("end"))
+        reached = every.select("range").distinct().join(ends, "range", "left")
+        before = reached.select("range", F.last("end", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("end"))
+        # as many rows as ranges
+        found = found.join(F.broadcast(before), "range").withColumn("r", F.coalesce("r", "end"))
     keyed = F.col("t").isNotNull()
     for n in names:
         keyed &= F.col(n).isNotNull()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..expr import quoted
 
@@ -26,17 +25,16 @@ def indexed(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
     """A first column with the place of each row in an ascending order with nulls first, from 0; without order the rows as they come.
 
     Rows are numbered within ranges of their keys, and the sizes of the ranges before, a row each, are added: no task sorts all rows, as under a
-    window without keys. The ranges' borders come from a job that takes the keys with the least hashes, a bounded number."""
+    window without keys. The borders, up to ``SPLITS`` squared, are a subquery over the keys with the least hashes, a bounded number; a row finds its range in two steps. Nothing
+    runs before the frame does."""
     keys = order or [F.monotonically_increasing_id()]
     keyed = df.select(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("__key"), *[quoted(c) for c in df.columns])
-    picked = keyed.select("__key").orderBy(F.xxhash64("__key")).limit(SPLITS * SAMPLES)
-    borders = [r["__key"] for r in picked.orderBy("__key").collect()][SAMPLES::SAMPLES]
-    if not borders:
-        return keyed.select((F.row_number().over(Window.orderBy("__key")) - 1).cast("long").alias(name), *[quoted(c) for c in df.columns])
-    schema = T.ArrayType(keyed.schema["__key"].dataType)
-    table = df.sparkSession.createDataFrame([([tuple(b) for b in borders],)], T.StructType([T.StructField("__borders", schema)]))
-    # one row of a bounded size
-    ranged = keyed.crossJoin(F.broadcast(table)).withColumn("__range", F.size(F.filter("__borders", lambda b: b <= F.col("__key")))).drop("__borders")
+    picked = keyed.select("__key").orderBy(F.xxhash64("__key")).limit(SPLITS * SPLITS * SAMPLES)
+    fine = picked.agg(F.array_sort(F.collect_list("__key")).alias("x")).select(F.filter("x", lambda _, i: i % SAMPLES == SAMPLES - 1).alias("fine"))
+    borders = fine.select(F.struct(F.filter("fine", lambda _, i: i % SPLITS == SPLITS - 1).alias("coarse"), "fine").alias("x"))
+    below = lambda a: F.size(F.filter(a, lambda b: b <= F.col("__key")))
+    ranged = keyed.withColumn("__borders", borders.scalar()).withColumn("__coarse", below(F.col("__borders.coarse")))
+    ranged = ranged.withColumn("__range", F.col("__coarse") * SPLITS + below(F.slice("__borders.fine", F.col("__coarse") * SPLITS + 1, SPLITS))).drop("__borders", "__coarse")
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))

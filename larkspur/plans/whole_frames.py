@@ -266,3 +266,28 @@ def sinks_read_again(t: Tables) -> lk.LazyFrame:
 @_query("SELECT l_orderkey, l_linenumber, l_quantity // 3.5 AS whole, l_extendedprice // l_quantity AS price, CAST(l_quantity AS INTEGER) // 7 AS sevens FROM lineitem")
 def floor_division(t: Tables) -> lk.LazyFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", (col("l_quantity") // 3.5).alias("whole"), (col("l_extendedprice") // col("l_quantity")).alias("price"), (col("l_quantity").cast("Int32") // 7).alias("sevens"))
+
+
+_NEAREST = "WITH a AS (SELECT event_id, ts, value FROM events WHERE event_type = 'purchase'), b AS (SELECT ts, max(value) AS seen FROM events WHERE event_type = 'view' GROUP BY ts) SELECT a.*, b.seen FROM a ASOF LEFT JOIN b ON a.ts {} b.ts"
+
+
+def _sides(t: Tables) -> tuple[lk.LazyFrame, lk.LazyFrame]:
+    kinds = t.events.filter(event_type="purchase").select("event_id", "ts", "value"), t.events.filter(event_type="view").group_by("ts").agg(col("value").max().alias("seen"))
+    return kinds
+
+
+@_query(_NEAREST.format(">="))
+def asof_without_keys(t: Tables) -> lk.LazyFrame:
+    a, b = _sides(t)
+    return a.join_asof(b, on="ts")
+
+
+@_query(_NEAREST.format("<="))
+def asof_forward_without_keys(t: Tables) -> lk.LazyFrame:
+    a, b = _sides(t)
+    return a.join_asof(b, on="ts", strategy="forward")
+
+
+@_query("SELECT l_returnflag, quantile_disc(l_quantity, 0.3) AS quantity, quantile_disc(l_linenumber, 0.7) AS line FROM lineitem GROUP BY l_returnflag")
+def group_quantiles_of_values(t: Tables) -> lk.LazyFrame:
+    return t.lineitem.group_by("l_returnflag").agg(col("l_quantity").quantile(0.3, interpolation=False).alias("quantity"), col("l_linenumber").quantile(0.7, interpolation=False).alias("line"))

@@ -213,3 +213,19 @@ def test_functions_of_the_survey_are_there_or_listed_as_missing():
     names = {n.lower() for n in re.findall(r"^\| `[^`]*` \| `([^`]+)` \|", survey, re.M)}
     listed = set(re.findall(r"`(\w+)`", (root / "README.md").read_text().split("lacks by name")[1].split("\n## ")[0]))
     assert len(names) > 600 and {n for n in names if not hasattr(sql_functions, n) and n not in sql_functions.SCALARS} == listed
+
+
+def test_plans_need_no_task_for_all_rows(spark):
+    from larkspur.plans import queries
+
+    def plan(name):
+        return queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+    for name in ("asof_without_keys", "frame_fill_null", "group_quantiles_of_values", "row_index"):
+        text = plan(name)
+        assert "collect_list(l_" not in text, name
+        # windows over all rows would need one; those over a row for each range may
+        for line in text.splitlines():
+            if "Window [" in line and "partitionBy" not in line:
+                assert "range" in line or "RangeFrame" in line, (name, line)
+    assert "SinglePartition" not in plan("group_quantiles_of_values")
