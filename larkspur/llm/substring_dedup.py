@@ -2,10 +2,11 @@
 
 Every window of ``window`` consecutive words of every document counts. A window's key is the least hash of the
 ``window - span + 1`` runs of ``span`` words in it, so equal windows have equal keys, and consecutive windows mostly share
-one. Pass 1 sketches how often each key is selected: a partition's sketch is sent as its occupied cells, partition sketches
-are merged by range of cells, and what is broadcast is one bit a cell, "at least twice". Sketches only overestimate, and all
+one. Pass 1 sketches how often each key is selected. Keys are spread over buckets by hash, as many as the corpus needs; in each the sketches of all partitions are added
+up, with ``CELLS_PER_KEY`` cells for each key of the bucket, and tell which of its keys are estimated at two or more. So nothing of the sketch is broadcast or on the driver,
+and it filters as well at any size. Sketches only overestimate, and all
 ties of a least hash are counted, so a window that repeats anywhere has a key estimated at two or more: none is lost.
-Pass 2 takes all windows whose key is estimated repeated and groups them by 96 bits of hash of their words. Windows repeated
+Pass 2 joins the places of such keys to their documents, reads the windows there and groups them by 96 bits of hash of their words. Windows repeated
 within one map task are settled there, and only the first of each goes on, so that a passage in very many documents
 sends no more than one row a task.
 
@@ -28,11 +29,11 @@ from .shared import NULL_ID, buckets, discard, free_name, integer_id, store
 from .words import U64, mix, sliding, words_of
 
 WINDOW, SPAN = 50, 26
-#: Cells for each key expected, and the most cells of one row of the sketch; beyond that it filters less but loses nothing.
-CELLS_PER_KEY, MOST_CELLS = 8, 1 << 30
-CHUNK_BITS, ROWS = 22, 2
+#: Cells for each key in a row of the sketch, and its rows.
+CELLS_PER_KEY, ROWS = 8, 2
+#: Runs of windows that a task gathers before it sends them.
+RUNS = 1 << 21
 _B2 = 0xA24BAED4963EE407
-_TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 SPAN_TYPE = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("kept", pa.bool_()), ("s", pa.int32()), ("e", pa.int32())])
 
@@ -45,11 +46,8 @@ def _keys(w, window: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     return sliding(w.grams(span), window - span + 1, np.minimum), whole
 
 
-def _selected(w, window: int, span: int) -> np.ndarray:
+def _selected(w, keys: np.ndarray, whole: np.ndarray, window: int, span: int) -> np.ndarray:
     """The hashes of the selected runs of words, once for each place where one is the least of some window."""
-    keys, whole = _keys(w, window, span)
-    if not whole.any():
-        return np.zeros(0, np.uint64)
     grams, width = w.grams(span), window - span + 1
     most = np.where(whole, keys, U64(0))
     pad = np.zeros(width - 1, np.uint64)
@@ -61,39 +59,73 @@ def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return mix(keys ^ U64(0x5851F42D4C957F2D * (row + 1) & (1 << 64) - 1)) >> U64(64 - bits)
 
 
-def _sketch(window: int, span: int, bits: int):
+def _by_bucket(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket, and where each bucket begins in it."""
+    bucket = (mix(keys) % U64(n_buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+
+
+KEY_SCHEMA = "bucket int, keys binary, many binary, run_key binary, run_doc binary, run_pos binary, run_n binary, ids binary, ths binary"
+
+
+def _keys_and_runs(window: int, span: int, n_buckets: int):
+    """For each bucket the keys selected in a partition, with whether more than once, and the runs of windows (key, document, first window, windows)."""
+
+    def sent(selected: list[np.ndarray], runs: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        values, counts = np.unique(np.concatenate(selected), return_counts=True)
+        key, ids, ths, pos, n = (np.concatenate(x) for x in zip(*runs, strict=True))
+        order, edges = _by_bucket(values, n_buckets)
+        r_order, r_edges = _by_bucket(key, n_buckets)
+        for k in np.flatnonzero(np.diff(edges)):
+            o, r = order[edges[k] : edges[k + 1]], r_order[r_edges[k] : r_edges[k + 1]]
+            docs, doc = np.unique(np.stack([ids[r], ths[r]]), axis=1, return_inverse=True)
+            cols = (values[o], counts[o] > 1, key[r], doc.ravel().astype(np.uint32), pos[r], n[r], docs[0], docs[1])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=[x.split()[0] for x in KEY_SCHEMA.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [s for b in batches for w in words_of(b.column(0)) if len(s := _selected(w, window, span))]
-        if not parts:
-            return
-        values, counts = np.unique(np.concatenate(parts), return_counts=True)
-        out: list[tuple] = []
-        for row in range(ROWS):
-            cells, at = np.unique(_cells(values, row, bits), return_inverse=True)
-            many = np.bincount(at, counts, len(cells)) > 1
-            chunk = (cells >> U64(CHUNK_BITS)).astype(np.int64)
-            inside = (cells & U64((1 << CHUNK_BITS) - 1)).astype(np.uint32)
-            edges = np.flatnonzero(np.diff(chunk, prepend=-1))
-            for a, b in zip(edges, [*edges[1:], len(chunk)], strict=True):
-                m = many[a:b]
-                out.append((row, int(chunk[a]), inside[a:b][~m].tobytes(), inside[a:b][m].tobytes()))
-        cols = list(zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
-            names=["row", "chunk", "once", "many"],
-        )
+        selected: list[np.ndarray] = []
+        runs: list[tuple[np.ndarray, ...]] = []
+        held = 0
+        for b in batches:
+            ids, ths = b.column(1).to_numpy(), b.column(2).to_numpy()
+            for w in words_of(b.column(0)):
+                keys, whole = _keys(w, window, span)
+                at = np.flatnonzero(whole)
+                if not len(at):
+                    continue
+                selected.append(_selected(w, keys, whole, window, span))
+                row, key = w.row_of_word()[at], keys[at]
+                begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])))
+                doc = w.first + row[begin]
+                runs.append((key[begin], ids[doc], ths[doc], (at[begin] - w.word_at[row[begin]]).astype(np.int32), np.diff(np.append(begin, len(at))).astype(np.int32)))
+                held += len(begin)
+                if held >= RUNS:
+                    yield from sent(selected, runs)
+                    selected, runs, held = [], [], 0
+        if held:
+            yield from sent(selected, runs)
 
     return run
 
 
-def _merge(key: tuple, table: pa.Table) -> pa.Table:
-    count = np.zeros(1 << CHUNK_BITS, np.uint8)
-    for once, many in zip(table.column("once"), table.column("many"), strict=True):
-        at = np.frombuffer(once.as_buffer(), np.uint32)
-        count[at] = np.minimum(count[at] + 1, 2)
-        count[np.frombuffer(many.as_buffer(), np.uint32)] = 2
-    bits = np.packbits(count >= 2).tobytes()
-    return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
+def _estimated(table: pa.Table) -> pa.Table:
+    """Of a bucket the runs of windows (doc, th, pos, n, key) whose key the added sketches of all partitions estimate at two or more."""
+    read = lambda column, k, kind: np.frombuffer(table.column(column)[k].as_buffer(), kind)
+    parts = [(read("keys", k, np.uint64), read("many", k, bool)) for k in range(table.num_rows)]
+    bits = max(10, int(np.ceil(np.log2(CELLS_PER_KEY * sum(len(x) for x, _ in parts)))))
+    total = np.zeros((ROWS, 1 << bits), np.uint8)
+    for keys, many in parts:
+        for row in range(ROWS):
+            cells, at = np.unique(_cells(keys, row, bits), return_inverse=True)
+            own = np.minimum(np.bincount(at, 1 + many, len(cells)), 2).astype(np.uint8)
+            total[row, cells] = np.minimum(total[row, cells] + own, 2)
+    out = []
+    for k in range(table.num_rows):
+        key, doc, pos, n, ids, ths = (read(c, k, t) for c, t in (("run_key", np.uint64), ("run_doc", np.uint32), ("run_pos", np.int32), ("run_n", np.int32), ("ids", np.int64), ("ths", np.int64)))
+        there = np.logical_and.reduce([total[row, _cells(key, row, bits)] >= 2 for row in range(ROWS)])
+        out.append((ids[doc[there]], ths[doc[there]], pos[there], n[there], key[there].view(np.int64)))
+    return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("doc", "th", "pos", "n", "key"), zip(*out, strict=True), strict=True)})
 
 
 class _Parts:
@@ -135,68 +167,58 @@ def _firsts(h: np.ndarray, g: np.ndarray, i: np.ndarray, t: np.ndarray, pos: np.
     return order[~again], first[~again], more[group][~again]
 
 
-def _gather(window: int, span: int, bits: int, sketch, n_buckets: int):
+GATHERED = "bucket int, h binary, g binary, doc_more binary, pos binary, ids binary, ths binary, doc long, th long, kept boolean, s int, e int"
+
+
+def _gather(window: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.frombuffer(x, np.uint8) for x in sketch.value]
         parts = _Parts()
         for b in batches:
-            ids, ths = b.column(1).to_numpy(), b.column(2).to_numpy()
+            ids, ths, runs = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
+            run_at = runs.offsets.to_numpy()
+            pos, n, key = (runs.values.field(c).to_numpy() for c in range(3))
             for w in words_of(b.column(0)):
-                keys, whole = _keys(w, window, span)
-                at = np.flatnonzero(whole)
-                if not len(at):
-                    continue
-                new = np.ones(len(at), bool)
-                new[1:] = keys[at[1:]] != keys[at[:-1]]
-                distinct = keys[at[new]]
-                found = np.ones(len(distinct), bool)
-                for row, table in enumerate(tables):
-                    c = _cells(distinct, row, bits)
-                    found &= (table[c >> U64(3)] >> (U64(7) - (c & U64(7))).astype(np.uint8)) & 1 == 1
-                at = at[found[np.cumsum(new) - 1]]
-                if not len(at):
-                    continue
-                row = w.row_of_word()[at]
-                used, local = np.unique(row, return_inverse=True)
+                mine = slice(run_at[w.first], run_at[w.first + w.rows])
+                row = np.repeat(np.arange(w.rows), np.diff(run_at[w.first : w.first + w.rows + 1]))
+                size = n[mine]
+                first = w.word_at[row] + pos[mine]
+                at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                row = np.repeat(row, size)
                 parts.h.append(w.grams(window)[at])
                 parts.g.append((w.grams(window, _B2)[at] >> U64(32)).astype(np.uint32))
-                parts.key.append(keys[at])
-                parts.doc.append(local + parts.docs)
+                parts.key.append(np.repeat(key[mine], size).view(np.uint64))
+                parts.doc.append(row + parts.docs)
                 parts.pos.append((at - w.word_at[row]).astype(np.int32))
-                parts.ids.append(ids[w.first + used])
-                parts.ths.append(ths[w.first + used])
-                parts.docs += len(used)
+                parts.ids.append(ids[w.first : w.first + w.rows])
+                parts.ths.append(ths[w.first : w.first + w.rows])
+                parts.docs += w.rows
         h, g, key, doc, pos, ids, ths = parts.join()
         if not len(h):
             return
         order, first, more = _firsts(h, g, ids[doc], ths[doc], pos, None)
         h, g, key, doc, pos = (x[order] for x in (h, g, key, doc, pos))
-        out = []
+        names = [x.split()[0] for x in GATHERED.split(", ")]
         spans = _spans(ids, ths, doc[~first], pos[~first], False, window)
-        empty = [b""] * len(spans)
-        none = pa.nulls(len(spans), pa.int32())
-        out.append([none, *[pa.array(empty, pa.binary())] * 6, *spans.columns])
+        # spans need no bucket, but go by: spread over as many groups as there are
+        aside = pa.array((-1 - (spans.column(0).to_numpy() % n_buckets)).astype(np.int32))
+        for a in range(0, len(spans), 10_000):
+            part = spans.slice(a, 10_000)
+            yield pa.RecordBatch.from_arrays([aside.slice(a, 10_000), *[pa.nulls(len(part), pa.binary())] * 6, *part.columns], names=names)
         h, g, key, doc, pos, more = (x[first] for x in (h, g, key, doc, pos, more))
-        bucket = (mix(key) % U64(n_buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        rows: list[tuple] = []
+        order, edges = _by_bucket(key, n_buckets)
         for k in np.flatnonzero(np.diff(edges)):
             o = order[edges[k] : edges[k + 1]]
             used, local = np.unique(doc[o], return_inverse=True)
-            rows.append((int(k), h[o].tobytes(), g[o].tobytes(), (local.astype(np.uint32) << np.uint32(1) | more[o]).tobytes(), pos[o].tobytes(), ids[used].tobytes(), ths[used].tobytes()))
-        cols = list(zip(*rows, strict=True))
-        n = len(rows)
-        out.append([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], *[pa.nulls(n, f.type) for f in SPAN_TYPE]])
-        for arrays in out:
-            for a in range(0, len(arrays[0]), 64 if arrays is out[1] else 10_000):
-                yield pa.RecordBatch.from_arrays([x.slice(a, 64 if arrays is out[1] else 10_000) for x in arrays], names=["bucket", "h", "g", "doc_more", "pos", "ids", "ths", *SPAN_TYPE.names])
+            cols = (h[o], g[o], local.astype(np.uint32) << np.uint32(1) | more[o], pos[o], ids[used], ths[used])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols), *[pa.nulls(1, f.type) for f in SPAN_TYPE]], names=names)
 
     return run
 
 
 def _settle(window: int):
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return table.select(SPAN_TYPE.names)
         parts: list[list[np.ndarray]] = [[] for _ in range(6)]
         for b in table.to_batches():
             for r in range(len(b)):
@@ -225,35 +247,15 @@ def _spans_frame(docs: DataFrame, window: int, span: int, text: str, doc_id: str
         raise ValueError("span must be between 1 and window")
     slim = docs.select(F.col(text).alias("text"), integer_id(docs, doc_id).alias("doc_id"), F.xxhash64(text).alias("th"))
     size = slim.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    keys = size / 6 * 2 / (window - span + 2)
-    bits = int(np.clip(np.ceil(np.log2(max(1, keys * CELLS_PER_KEY))), CHUNK_BITS, np.log2(MOST_CELLS)))
-    merged = (
-        slim.select("text")
-        .mapInArrow(_sketch(window, span, bits), "row int, chunk int, once binary, many binary")
-        .groupBy("row", "chunk")
-        .applyInArrow(_merge, "row int, chunk int, bits binary")
-    )
-    tables = [bytearray(1 << bits - 3) for _ in range(ROWS)]
-    for r in merged.toLocalIterator():
-        at = r["chunk"] << CHUNK_BITS - 3
-        tables[r["row"]][at : at + (1 << CHUNK_BITS - 3)] = r["bits"]
-    sketch = spark.sparkContext.broadcast([bytes(x) for x in tables])
-    n = buckets(spark, size)
-    found, path = store(
-        slim.mapInArrow(
-            _gather(window, span, bits, sketch, n),
-            "bucket int, h binary, g binary, doc_more binary, pos binary, ids binary, ths binary, doc long, th long, kept boolean, s int, e int",
-        )
-    )
-    settled = (
-        found.where("bucket is not null").select("bucket", "h", "g", "doc_more", "pos", "ids", "ths")
-        .groupBy("bucket")
-        .applyInArrow(_settle(window), "doc long, th long, kept boolean, s int, e int")
-    )
-    spans = found.where("bucket is null").select("doc", "th", "kept", "s", "e").union(settled)
-    result = store(_united(spans))[0]
+    n = buckets(spark, size / 6 * 2 / (window - span + 2) * 40)
+    runs = slim.select("text", "doc_id", "th").mapInArrow(_keys_and_runs(window, span, n), KEY_SCHEMA).groupBy("bucket").applyInArrow(_estimated, "doc long, th long, pos int, n int, key long")
+    places, path = store(runs.groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "n", "key")).alias("runs")))
+    windows = places.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda x, r: x + r["n"]))).first()[0] or 0
+    n = buckets(spark, windows * 24.0)
+    joined = slim.join(places, (slim["doc_id"] == places["doc"]) & (slim["th"] == places["th"])).select("text", "doc", slim["th"], "runs")
+    settled = joined.mapInArrow(_gather(window, n), GATHERED).groupBy("bucket").applyInArrow(_settle(window), "doc long, th long, kept boolean, s int, e int")
+    result = store(_united(settled))[0]
     discard(spark, path)
-    sketch.destroy()
     return result
 
 
