@@ -39,6 +39,8 @@ def store(df: DataFrame, partition_by: str | None = None) -> tuple[DataFrame, st
     path = f"{shared_folder(spark)}/larkspur-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # results that nobody discards end with the application
     return spark.read.schema(df.schema).parquet(path), path
 
 
