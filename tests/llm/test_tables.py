@@ -110,6 +110,35 @@ def test_near_duplicates(spark):
     assert {d for g in groups.values() if len(g) > 1 for d in g} == set(kept)
 
 
+@pytest.mark.parametrize("block", [1 << 19, 30])
+def test_groups_in_a_hot_bucket(spark, monkeypatch, block):
+    """Many documents that share bands with one another but belong to several groups, compared in one block or in many."""
+    monkeypatch.setattr(minhash_dedup._grouped, "__defaults__", (block,))
+    rng = random.Random(12)
+    base = prose(rng, 60, 5000)
+    texts = []
+    for _ in range(12):
+        own = base[:30] + prose(rng, 40, 5000)
+        for _ in range(6):
+            w = list(own)
+            for _ in range(rng.randrange(14)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    out = {r["doc_id"]: r["kept_doc_id"] for r in minhash_dedup.near_duplicates(documents(spark, texts), bands=200, band_rows=1).collect()}
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    groups = defaultdict(list)
+    for d in range(len(texts)):
+        groups[find(d)].append(d)
+    assert out == {d: g for g, ds in groups.items() if len(ds) > 1 for d in ds} and len(groups) > 8
+
+
 def test_one_of_each_group_stays(spark):
     texts = [None, None, "", "a b c d", "a b c d", "e f g"]
     docs = documents(spark, texts, "near_doc near_th")
@@ -232,6 +261,23 @@ def test_shards_of_odd_rows(spark):
     assert histogram_sharding.shard(many, ["doc_id"], shard_bytes=300).where("doc_id = 1").select("shard").distinct().count() == 1
 
 
+def test_splitters_of_very_many_shards_need_little_of_the_driver():
+    import time
+
+    n = 100_000
+    keys = [f"{k:08d}" for k in range(4 * n)]
+    below = np.arange(4 * n, dtype=np.int64) * 10
+    goals = np.array([40 * n * i // n for i in range(1, n)])
+    chosen = [None] * len(goals)
+    began = time.perf_counter()
+    left = histogram_sharding.narrowed(histogram_sharding.Interval("", 0, "", 40 * n, 0, len(goals)), keys[1::8], below[1::8], goals, 5.0, chosen)
+    for x in left:
+        a, z = int(x.low or -1) + 1, int(x.high or 4 * n)
+        assert not histogram_sharding.narrowed(x, keys[a:z], below[a:z], goals, 5.0, chosen)
+    assert time.perf_counter() - began < 30
+    assert all(abs(10 * int(c) - g) <= 5 for c, g in zip(chosen, goals.tolist(), strict=True))
+
+
 def film(index=True):
     rng = np.random.default_rng(0)
     dark, light = rng.integers(0, 60, (16, 16)), rng.integers(190, 255, (16, 16))
