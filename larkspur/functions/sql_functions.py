@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..expr import Expr, Kind, as_expr, gathered
-from . import scalar
+from . import more, scalar, spatial
 from .formats import java_pattern
 
 Make = Callable[..., Column]
@@ -63,6 +63,8 @@ def __getattr__(name: str) -> Callable[..., Expr]:
     if name.startswith("__"):
         raise AttributeError(name)
     bare = name.rstrip("_")
+    if bare in more.BUILDERS:
+        return more.BUILDERS[bare]
     if bare in AGGREGATES:
         return lambda *args: _make(AGGREGATES[bare], args, Kind.SCALAR)
     if bare in SCALARS:
@@ -291,58 +293,7 @@ def _mad(a: Column) -> Column:
     return _mad_double(a.cast("double"))
 
 
-# texts of zeros and ones stand for bit strings, structs of a tag and all members for unions, well-known binary for geometries
-
-
-def _geometry(kind: int, body: Callable[..., bytes]) -> Callable[..., bytes]:
-    return lambda *a: struct.pack("<BI", 1, kind) + body(*a)
-
-
-def _coordinates(raw: bytes) -> list[tuple[float, float]]:
-    """All coordinates of a point, line or polygon."""
-    kind = struct.unpack_from("<I", raw, 1)[0]
-    at, out = 5, []
-    for _ in range(struct.unpack_from("<I", raw, at)[0] if kind == 3 else 1):
-        if at == 5 and kind == 3:
-            at += 4
-        n = 1
-        if kind != 1:
-            n = struct.unpack_from("<I", raw, at)[0]
-            at += 4
-        for _ in range(n):
-            out.append(struct.unpack_from("<dd", raw, at))
-            at += 16
-    return out
-
-
-def _wkt(raw: bytes) -> str:
-    kind = struct.unpack_from("<I", raw, 1)[0]
-    text = ", ".join(f"{x:.15g} {y:.15g}" for x, y in _coordinates(raw))
-    return {1: f"POINT ({text})", 2: f"LINESTRING ({text})", 3: f"POLYGON (({text}))"}[kind]
-
-
-def _from_wkt(text: str) -> bytes:
-    name, _, rest = text.partition("(")
-    pairs = [tuple(map(float, p.split())) for p in rest.strip("() ").split(",")]
-    flat = struct.pack(f"<{2 * len(pairs)}d", *(v for p in pairs for v in p))
-    kind = {"POINT": 1, "LINESTRING": 2, "POLYGON": 3}[name.strip().upper()]
-    head = {1: b"", 2: struct.pack("<I", len(pairs)), 3: struct.pack("<II", 1, len(pairs))}[kind]
-    return struct.pack("<BI", 1, kind) + head + flat
-
-
-def _length(raw: bytes) -> float:
-    c = _coordinates(raw) if struct.unpack_from("<I", raw, 1)[0] == 2 else []
-    return sum(math.dist(p, q) for p, q in zip(c, c[1:], strict=False))
-
-
-def _area(raw: bytes) -> float:
-    c = _coordinates(raw) if struct.unpack_from("<I", raw, 1)[0] == 3 else []
-    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(c, c[1:], strict=False))) / 2
-
-
-def _point_far(a: bytes, b: bytes) -> float:
-    return min(math.dist(p, q) for p in _coordinates(a) for q in _coordinates(b))
-
+# texts of zeros and ones stand for bit strings, structs of a tag and all members for unions; geometries are in ``spatial``
 
 SCALARS: dict[str, Make] = {
     # numbers
@@ -370,7 +321,7 @@ SCALARS: dict[str, Make] = {
     "list_cross_product": lambda a, b: F.array(*[F.get(a, F.lit(i)) * F.get(b, F.lit(j)) - F.get(a, F.lit(j)) * F.get(b, F.lit(i)) for i, j in ((1, 2), (2, 0), (0, 1))]), "list_slice": _slice, "list_resize": _resize, "list_concat": lambda *cs: F.concat(*[F.coalesce(c, F.slice(cs[0], 1, 0)) for c in cs]),
     "list_cat": lambda *cs: F.concat(*[F.coalesce(c, F.slice(cs[0], 1, 0)) for c in cs]), "list_contains": lambda a, v: F.when(a.isNotNull(), F.coalesce(F.array_contains(a, v), F.lit(False))), "list_has": lambda a, v: F.when(a.isNotNull(), F.coalesce(F.array_contains(a, v), F.lit(False))),
     "list_has_any": lambda a, b: F.coalesce(F.arrays_overlap(a, b), F.lit(False)), "list_has_all": lambda a, b: F.size(F.array_except(F.array_compact(b), a)) == 0, "list_position": lambda a, v: F.nullif(F.array_position(a, v), F.lit(0)), "list_indexof": lambda a, v: F.nullif(F.array_position(a, v), F.lit(0)),
-    "list_distinct": lambda a: F.array_distinct(F.array_compact(a)), "list_unique": lambda a: F.size(F.array_distinct(F.array_compact(a))), "list_sort": lambda a: F.sort_array(a), "list_reverse_sort": lambda a: F.sort_array(a, False), "list_grade_up": _grade, "list_extract": lambda a, i: F.try_element_at(a, i.cast("int")), "list_select": lambda a, ix: F.transform(ix, lambda i: F.try_element_at(a, i.cast("int"))),
+    "list_distinct": lambda a: F.array_distinct(F.array_compact(a)), "list_unique": lambda a: F.size(F.array_distinct(F.array_compact(a))), "list_sort": lambda a: F.sort_array(a), "list_reverse_sort": lambda a: F.sort_array(a, False), "list_grade_up": _grade, "grade_up": _grade, "list_extract": lambda a, i: F.try_element_at(a, i.cast("int")), "list_select": lambda a, ix: F.transform(ix, lambda i: F.try_element_at(a, i.cast("int"))),
     "list_where": lambda a, m: F.transform(F.filter(F.arrays_zip(a.alias("v"), m.alias("m")), lambda z: z["m"]), lambda z: z["v"]), "list_pop_back": lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), "list_pop_front": lambda a: F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), "flatten": lambda a: F.flatten(F.array_compact(a)),
     "list_sum": scalar.list_sum, "list_avg": scalar.list_mean, "list_mean": scalar.list_mean, "list_median": scalar.list_median, "list_min": lambda a: F.array_min(a), "list_max": lambda a: F.array_max(a), "list_var_samp": lambda a: scalar.list_var(a, 1), "list_var_pop": lambda a: scalar.list_var(a, 0), "list_stddev_samp": lambda a: F.sqrt(scalar.list_var(a, 1)),
     "list_stddev_pop": lambda a: F.sqrt(scalar.list_var(a, 0)), "list_count": lambda a: F.size(F.array_compact(a)), "list_first": lambda a: F.get(a, F.lit(0)), "list_last": lambda a: F.try_element_at(a, F.lit(-1)), "list_any_value": lambda a: F.get(F.array_compact(a), F.lit(0)), "list_product": lambda a: F.aggregate(F.array_compact(_numbers(a)), F.lit(1.0), lambda s, x: s * x),
@@ -387,13 +338,12 @@ SCALARS: dict[str, Make] = {
     "json_valid": lambda a: F.when(a.isNotNull(), F.try_parse_json(a).isNotNull()), "json_extract": _json_value, "json_extract_path": _json_value, "json_value": _json_value, "json_exists": lambda a, p: F.when(a.isNotNull(), F.call_function("try_variant_get", F.try_parse_json(a), p, F.lit("variant")).isNotNull()), "json_type": _json_type, "json_keys": lambda a: F.json_object_keys(a),
     "json_array": lambda *cs: F.to_json(F.array(*cs)), "json_quote": lambda a: F.to_json(a), "json_structure": lambda a: F.schema_of_json(a), "json_pretty": lambda a: F.to_json(F.try_parse_json(a), {"pretty": "true"}), "json_contains": _series("boolean", lambda a, b: _contained(json.loads(a), json.loads(b))),
     "json_merge_patch": _series("string", lambda a, b: json.dumps(merge_patch(json.loads(a), json.loads(b)), separators=(",", ":"), ensure_ascii=False)), "map_contains_entry": lambda m, k, v: F.map_contains_key(m, k) & (F.try_element_at(m, k) == v), "map_contains_value": lambda m, v: F.array_contains(F.map_values(m), v), "map_extract": lambda m, k: F.array_compact(F.array(F.try_element_at(m, k))),
-    # bits, unions and geometries
+    # bits and unions
     "bitstring": lambda s, n: F.lpad(s, n, "0"), "get_bit": lambda s, i: F.substring(s, i + 1, F.lit(1)).cast("int"), "set_bit": lambda s, i, v: F.overlay(s, v.cast("string"), i + 1, F.lit(1)), "bit_position": lambda sub, s: F.instr(s, sub), "union_tag": lambda u: u.getField("tag"), "union_extract": lambda u, t: F.call_function("get_json_object", F.to_json(u), F.concat(F.lit("$."), t)),
-    "st_point": _series("binary", _geometry(1, lambda x, y: struct.pack("<dd", x, y))), "st_x": _series("double", lambda g: _coordinates(g)[0][0]), "st_y": _series("double", lambda g: _coordinates(g)[0][1]), "st_astext": _series("string", _wkt), "st_geomfromtext": _series("binary", _from_wkt), "st_aswkb": lambda g: g, "st_geomfromwkb": lambda g: g, "st_distance": _series("double", _point_far),
-    "st_length": _series("double", _length), "st_area": _series("double", _area), "st_npoints": _series("long", lambda g: len(_coordinates(g))), "st_xmin": _series("double", lambda g: min(c[0] for c in _coordinates(g))), "st_xmax": _series("double", lambda g: max(c[0] for c in _coordinates(g))), "st_ymin": _series("double", lambda g: min(c[1] for c in _coordinates(g))),
-    "st_ymax": _series("double", lambda g: max(c[1] for c in _coordinates(g))), "st_geometrytype": _series("string", lambda g: {1: "POINT", 2: "LINESTRING", 3: "POLYGON"}[struct.unpack_from("<I", g, 1)[0]]),
 }
 
+SCALARS |= more.SCALARS | spatial.SCALARS
+
 
 def _contained(a: Any, b: Any) -> bool:
     """Whether b is a or anywhere in it; objects hold others with fewer keys."""
@@ -410,6 +360,8 @@ AGGREGATES: dict[str, Make] = {
     "arg_max_nulls_last": lambda a, b: F.max_by(a, F.struct(b.isNotNull(), b)), "arg_min_nulls_last": lambda a, b: F.min_by(a, F.struct(b.isNull(), b)), "json_group_array": lambda a: F.to_json(gathered(a)), "json_group_object": lambda k, v: F.to_json(F.map_from_entries(F.collect_list(F.struct(k, v)))), "count_star": lambda: F.count(F.lit(1)),
 }
 
+AGGREGATES |= spatial.AGGREGATES
+
 
 # functions with arguments that aren't columns
 
@@ -500,7 +452,8 @@ def list_reduce(e: Any, f: Callable[[Column, Column], Column], initial: Any = No
     return _make(lambda a: F.reduce(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), F.get(a, F.lit(0)), f), (e,))
 
 
-list_apply = apply = array_transform = list_transform
+list_apply = apply = array_transform = array_apply = list_transform
+array_reduce = list_reduce
 
 
 def list_aggregate(e: Any, name: str) -> Expr:

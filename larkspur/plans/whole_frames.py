@@ -291,3 +291,41 @@ def asof_forward_without_keys(t: Tables) -> lk.LazyFrame:
 @_query("SELECT l_returnflag, quantile_disc(l_quantity, 0.3) AS quantity, quantile_disc(l_linenumber, 0.7) AS line FROM lineitem GROUP BY l_returnflag")
 def group_quantiles_of_values(t: Tables) -> lk.LazyFrame:
     return t.lineitem.group_by("l_returnflag").agg(col("l_quantity").quantile(0.3, interpolation=False).alias("quantity"), col("l_linenumber").quantile(0.7, interpolation=False).alias("line"))
+
+
+_BINS = "list_transform(embedding, lambda x: CAST(floor(x * 12) AS BIGINT))"
+
+
+@_query(
+    f"SELECT vec_id, list_bit_and(e) AS a, list_bit_or(e) AS b, list_bit_xor(e) AS c, round(list_entropy(e), 9) AS d, round(list_mad(f), 9) AS n, round(list_sem(f), 9) AS g, round(list_skewness(f), 7) AS h, round(list_kurtosis(f), 7) AS i, "
+    f"round(list_kurtosis_pop(f), 7) AS j, len(list_distinct(e)) AS k, e[3] AS l, list_mode(list_transform(e, lambda x: CASE WHEN x = e[1] THEN 0 ELSE x % 2 + 5 END)) AS m FROM (SELECT vec_id, {_BINS} AS e, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings)"
+)
+def catalogue_list_measures(t: Tables) -> lk.LazyFrame:
+    e = col("embedding").list.eval((lk.element().cast("Float64") * 12).floor().cast("Int64"))
+    f = t.embeddings.select("vec_id", e.alias("e"), col("embedding").list.eval(lk.element().cast("Float64")).alias("f"))
+    e, f9 = col("e"), lambda x, n=9: x.round(n, mode="half_away_from_zero")
+    f_ = col("f")
+    kinds = fn.list_transform(e, lambda x: x)
+    return f.with_columns(e.list.first().alias("one")).select(
+        "vec_id", fn.list_bit_and(e).alias("a"), fn.list_bit_or(e).alias("b"), fn.list_bit_xor(e).alias("c"), f9(fn.list_entropy(e)).alias("d"), f9(fn.list_mad(f_)).alias("n"), f9(fn.list_sem(f_)).alias("g"), f9(fn.list_skewness(f_), 7).alias("h"),
+        f9(fn.list_kurtosis(f_), 7).alias("i"), f9(fn.list_kurtosis_pop(f_), 7).alias("j"), fn.list_approx_count_distinct(e).cast("Int64").alias("k"), fn.list_element(e, 3).alias("l"),
+        fn.list_mode(kinds.list.eval(lk.when(lk.element() == col("one")).then(0).otherwise(lk.element() % 2 + 5))).cast("Int64").alias("m"),
+    )
+
+
+@_query(
+    "SELECT o_orderkey, day(last_day(o_orderdate)) AS days, 1024 * o_custkey AS size, o_custkey AS a, o_orderstatus AS b, o_custkey AS first, CAST(o_custkey AS VARCHAR) AS text, 'F' AS low, 'P' AS high, o_custkey AS v FROM orders"
+)
+def catalogue_leftovers(t: Tables) -> lk.LazyFrame:
+    k, kinds = col("o_custkey"), ["F", "O", "P"]
+    both = fn.struct_concat(fn.named_struct(lit("a"), k), fn.named_struct(lit("b"), col("o_orderstatus")))
+    return t.orders.select(
+        "o_orderkey", fn.days_in_month(col("o_orderdate")).alias("days"), fn.parse_formatted_bytes(fn.concat(k.cast("String"), lit(" KiB"))).alias("size"), both.struct.field("a").alias("a"), both.struct.field("b").alias("b"),
+        fn.struct_extract_at(both, 1).alias("first"), fn.cast_to_type(k, lit("")).alias("text"), fn.enum_first(kinds).alias("low"), fn.enum_last(kinds).alias("high"), fn.union_value(v=k).struct.field("v").alias("v"),
+    )
+
+
+@_query("SELECT o_custkey % 10 AS g, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS rest FROM orders GROUP BY 1")
+def catalogue_exact_histogram(t: Tables) -> lk.LazyFrame:
+    h = t.orders.with_columns((col("o_custkey") % 10).alias("g")).group_by("g").agg(fn.histogram_exact(col("o_orderstatus"), ["F", "O"]).alias("h"))
+    return h.select("g", *[fn.map_extract_value(col("h"), key).alias(name) for name, key in (("f", "F"), ("o", "O"), ("rest", "other"))])
