@@ -190,6 +190,18 @@ def test_packing_is_whole_and_close_to_best_fit(spark, monkeypatch, items):
     assert len(bins) <= 1.1 * (len(gaps) + whole) + 1
 
 
+def test_the_tail_is_packed_by_best_fit():
+    rng = random.Random(13)
+    sizes = sorted((rng.randrange(1, 100) for _ in range(300)), reverse=True)
+    found = best_fit_packing.best_fit(sizes, 100)
+    free: dict[int, int] = {}
+    for size, (number, start) in zip(sizes, found, strict=True):
+        fit = [g for g in free.values() if g >= size]
+        assert free.get(number, 100) == 100 - start and (free[number] == min(fit) if fit else number == len(free))
+        free[number] = 100 - start - size
+        assert free[number] >= 0
+
+
 def test_packing_of_nothing(spark):
     assert best_fit_packing.pack(documents(spark, [None, ""])).count() == 0
     assert best_fit_packing.pack(documents(spark, ["a"]).limit(0)).count() == 0
@@ -448,3 +460,50 @@ def test_registered_queries_and_pipeline(spark):
     for r in corpus_pipeline.run(spark, sf).collect():
         packed[r["doc_id"]] += r["n_bytes"]
     assert packed == {d: n for d, n in sizes.items() if n}
+
+
+def cut_by_hand(texts, window=50):
+    """Texts by id without the words of windows that an earlier (id, place) has, the white space after a cut going with it."""
+    first, gone = {}, defaultdict(set)
+    words = {d: t.split(" ") for d, t in texts.items()}
+    for d in sorted(words):
+        for p in range(len(words[d]) - window + 1):
+            key = tuple(words[d][p : p + window])
+            if first.setdefault(key, (d, p)) != (d, p):
+                gone[d] |= set(range(p, p + window))
+    return {d: " ".join(w for p, w in enumerate(ws) if p not in gone[d]) for d, ws in words.items()}
+
+
+def test_pipeline_equals_its_steps_by_hand(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    passage = prose(rng, 60, 10**6)
+    texts = {d: " ".join(prose(rng, rng.randrange(5, 200), 10**6)) for d in range(1, 60)}
+    for d in range(10, 20):  # near copies of 1 to 10
+        w = texts[d - 9].split(" ")
+        w[len(w) // 2] = "changed"
+        texts[d] = " ".join(w)
+    for d in range(30, 40):
+        w = texts[d].split(" ") * (5 if len(texts[d].split(" ")) < 150 else 2)
+        texts[d] = " ".join(f"{x}_{k}" for k, x in enumerate(w[:200])) + " " + " ".join(passage)
+    rows = [(d, t, "en", "s", len(t), "extra") for d, t in texts.items()]
+    rows += [rows[0], rows[5], (None, texts[45] + " of nobody", None, None, None, None), (70, None, "en", "s", 0, "x"), (71, "", "en", "s", 0, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, probability string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 1, 0), (1, None, 1), (99, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    all_texts = texts | {-1: texts[45] + " of nobody"}  # a null id sorts first
+    sets, keep = {d: shingles(t) for d, t in all_texts.items()}, {}
+    for d in sorted(all_texts):
+        if not any(len(sets[d] & sets[e]) >= 0.5 * len(sets[d] | sets[e]) for e in keep):
+            keep[d] = all_texts[d]
+    expected = {d: len(t.encode()) for d, t in cut_by_hand(keep).items() if t}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    sums, starts = defaultdict(int), set()
+    for r in out:
+        sums[-1 if r["doc_id"] is None else r["doc_id"]] += r["n_bytes"]
+        starts.add((r["bin_id"], r["bin_start"]))
+    assert {d: n for d, n in sums.items()} == pytest.approx(expected, abs=1) and len(starts) == len(out)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
