@@ -1,10 +1,13 @@
 """Tool calls in chats: linking with results, topological order, validation and canonical JSON.
 
 Messages are rows (conv_id, turn, role, text). A message of role ``assistant`` whose text is a JSON object with ``tool_calls``, a list of objects with
-``id``, ``name`` and ``arguments``, makes calls; one of role ``tool`` whose text is an object with ``tool_call_id`` and ``content`` is a result. Calls
-and results are hash-joined by conversation and identifier. An argument ``{"$ref": id}`` anywhere makes a call depend on another of its
+``id``, ``name`` and ``arguments``, makes calls; one of role ``tool`` whose text is an object with ``tool_call_id`` and ``content`` is a result. The first call
+and the first result of each identifier, found by partial aggregation, are hash-joined by conversation and identifier. An argument ``{"$ref": id}`` anywhere makes a call depend on another of its
 conversation; calls are ordered so that each follows what it depends on, and otherwise by their places.
 
+References are joined to the calls they name. Where all of a conversation point back, the order is that of the places, which are numbered by ranges:
+a conversation of any length is spread over tasks. Only a conversation with a reference forward, to itself or to no call is ordered as a graph, by one task.
+
 Defined results: messages with null or malformed text, or without calls, make none; calls and results without identifier are never linked; of
 several calls with one identifier the first is linked, later ones are ``duplicate``; of several results the first counts and later ones are ``extra``;
 a result without call is ``orphan``, a call without result ``unanswered``; calls in or behind a cycle, or that refer to no call, come last with an error; a null conversation
@@ -22,9 +25,11 @@ import re
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import discard, store
+
 CALLS = "struct<tool_calls: array<struct<id: string, name: string, arguments: string>>>"
 RESULT = "struct<tool_call_id: string, content: string>"
 #: The tool of :func:`exchanges`.
@@ -217,39 +222,84 @@ def order_calls(rows: list[dict], schemas: dict[str, dict]) -> list[dict]:
     return out
 
 
-def link(messages: DataFrame, schemas: dict[str, dict], conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, position, call_id, name, status, valid, errors, json) of each call, and of each result that isn't linked."""
-    for name, schema in schemas.items():
-        check_schema(schema, name)
+def read_call(row: dict, schemas: dict[str, dict]) -> dict:
+    """The errors of one row by itself, what it refers to and its canonical JSON."""
+    aside = row["status"] in ("orphan", "extra")
+    value, errors = (None, []) if aside else _parse(row["arguments"])
+    if not aside and not errors:
+        errors = violations(value, schemas[row["name"]]) if row["name"] in schemas else ["$: no such tool"]
+    record = {"arguments": value, "id": row["call_id"], "name": row["name"], "result": row["result"]}
+    return {"errors": [printable(e) for e in errors], "refs": sorted(map(printable, references(value))), "json": canonical(record)}
+
+
+def _linked(messages: DataFrame, conv_id: str, turn: str, role: str, text: str) -> tuple[DataFrame, list[str]]:
+    """Calls with their results, and results without: (conv_id, turn, place, call_id, name, arguments, result, status)."""
     slim = messages.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     made = slim.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.from_json("text", CALLS)["tool_calls"]).alias("place", "c")).where("c is not null")
     calls = made.select("conv_id", "turn", "place", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
-    nth = Window.partitionBy("conv_id", "call_id").orderBy(F.asc_nulls_last("turn"), "place", "arguments", "name")
-    calls = calls.withColumn("nth", F.when(F.col("call_id").isNotNull(), F.row_number().over(nth)).otherwise(0))
     given = slim.where("role = 'tool'").select("conv_id", "turn", F.from_json("text", RESULT).alias("r")).where("r.tool_call_id is not null or r.content is not null")
-    results = given.select(F.col("conv_id").alias("r_conv"), F.col("turn").alias("r_turn"), F.col("r.tool_call_id").alias("r_id"), F.col("r.content").alias("result"))
-    nth = Window.partitionBy("r_conv", "r_id").orderBy(F.asc_nulls_last("r_turn"), "result")
-    results = results.withColumn("r_nth", F.when(F.col("r_id").isNotNull(), F.row_number().over(nth)).otherwise(0))
-    same = F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_id")) & (F.col("nth") == 1) & (F.col("r_nth") == 1)
-    joined = calls.join(results.hint("shuffle_hash"), same, "full")
-    status = (
-        F.when(F.col("nth").isNull(), F.when(F.col("r_nth") > 1, "extra").otherwise("orphan"))
-        .when(F.col("nth") > 1, "duplicate")
-        .when(F.col("r_nth").isNull(), "unanswered")
-        .otherwise("linked")
-    )
-    rows = joined.select(
-        F.when(F.col("nth").isNull(), F.col("r_conv")).otherwise(F.col("conv_id")).alias("conv_id"),
-        F.struct(F.coalesce("turn", "r_turn").alias("turn"), F.coalesce("place", F.lit(1 << 30)).alias("place"), F.coalesce("call_id", "r_id").alias("call_id"), "name", "arguments", "result", status.alias("status")).alias("x"),
-    )
+    results = given.select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("result"))
+    calls, p1 = store(calls.withColumn("uid", F.monotonically_increasing_id()))
+    results, p2 = store(results.withColumn("r_uid", F.monotonically_increasing_id()))
+    by = [F.col("turn").isNull(), "turn"]
+    first_calls = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min_by("uid", F.struct(*by, "place", "arguments", "name")).alias("uid"))
+    first_results = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min_by("r_uid", F.struct(*by, "result")).alias("r_uid"))
+    c, r = first_calls.alias("c"), first_results.hint("shuffle_hash").alias("r")
+    same = F.col("c.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("c.call_id") == F.col("r.call_id"))
+    pairs, p3 = store(c.join(r, same, "full").select("uid", "r_uid"))
+    answers = pairs.where("uid is not null").join(results.select("r_uid", "result"), "r_uid", "left").select("uid", F.lit(True).alias("first"), "r_uid", "result")
+    status = F.when(F.col("call_id").isNull(), "unanswered").when(F.col("first").isNull(), "duplicate").when(F.col("r_uid").isNull(), "unanswered").otherwise("linked")
+    columns = ["conv_id", "turn", "place", "call_id", "name", "arguments", "result"]
+    some = calls.join(answers, "uid", "left").select(*columns, status.alias("status"))
+    none = F.lit(None).cast("string")
+    alone = results.join(pairs.where("r_uid is not null").select("r_uid", F.col("uid").isNotNull().alias("answers")), "r_uid", "left").where("not coalesce(answers, false)")
+    status = F.when(F.col("call_id").isNotNull() & F.col("answers").isNull(), "extra").otherwise("orphan")
+    rest = alone.select("conv_id", "turn", F.lit(1 << 30).alias("place"), "call_id", none.alias("name"), none.alias("arguments"), "result", status.alias("status"))
+    return some.union(rest), [p1, p2, p3]
+
+
+def link(messages: DataFrame, schemas: dict[str, dict], conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv_id, position, call_id, name, status, valid, errors, json) of each call, and of each result that isn't linked."""
+    for name, schema in schemas.items():
+        check_schema(schema, name)
+
+    @F.arrow_udf("struct<errors: array<string>, refs: array<string>, json: string>")
+    def read(column: pa.Array) -> pa.Array:
+        kind = pa.struct([("errors", pa.list_(pa.string())), ("refs", pa.list_(pa.string())), ("json", pa.string())])
+        return pa.array([read_call(x, schemas) for x in column.to_pylist()], kind)
+
+    rows, paths = _linked(messages, conv_id, turn, role, text)
+    fields = ["turn", "place", "call_id", "name", "arguments", "result", "status"]
+    seen = rows.withColumn("seen", read(F.struct("call_id", "name", "arguments", "result", "status"))).withColumn("uid", F.monotonically_increasing_id())
+    key = [F.col("turn").isNull(), F.coalesce("turn", F.lit(0)), "place", F.coalesce("call_id", F.lit("")), F.coalesce("arguments", F.lit("")), F.coalesce("name", F.lit(""))]
+    rows, p4 = store(seen.withColumn("key", F.struct(*[k.alias(f"k{i}") if isinstance(k, Column) else F.col(k).alias(f"k{i}") for i, k in enumerate(key)])))
+    discard(rows.sparkSession, *paths)
+
+    owners = rows.where("call_id is not null and status in ('linked', 'unanswered')").select(F.col("conv_id").alias("o_conv"), F.col("call_id").alias("o_id"), F.col("key").alias("o_key"))
+    wanted = rows.select("conv_id", "key", F.explode("seen.refs").alias("ref"))
+    back = F.coalesce(F.col("o_key") < F.col("key"), F.lit(False))
+    graphs, p5 = store(wanted.join(owners, F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("ref") == F.col("o_id")), "left").where(~back).select(F.col("conv_id").alias("g_conv")).distinct())
+    inside = F.col("conv_id").eqNullSafe(F.col("g_conv"))
+
+    # numbered by ranges: within a range of conversations and places, after what earlier ranges have of the conversation
+    plain = rows.join(graphs, inside, "left_anti")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged, _ = store(plain.repartitionByRange(n, "conv_id", "key.k0", "key.k1", "key.k2").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("conv_id", "part").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("conv_id").alias("s_conv"), F.col("part").alias("s_part"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")).where("offset > 0")
+    local = F.row_number().over(Window.partitionBy("part", "conv_id").orderBy("key")) - 1
+    placed = ranged.withColumn("local", local).join(offsets, F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("part") == F.col("s_part")), "left")
+    valid = (F.size("seen.errors") == 0) & ~F.col("status").isin("orphan", "extra")
+    placed = placed.select("conv_id", (F.col("local") + F.coalesce("offset", F.lit(0))).cast("int").alias("position"), "call_id", "name", "status", valid.alias("valid"), F.col("seen.errors").alias("errors"), F.col("seen.json").alias("json"))
 
     @F.arrow_udf("array<struct<position: int, call_id: string, name: string, status: string, valid: boolean, errors: array<string>, json: string>>")
     def ordered(column: pa.Array) -> pa.Array:
         kind = pa.struct([("position", pa.int32()), ("call_id", pa.string()), ("name", pa.string()), ("status", pa.string()), ("valid", pa.bool_()), ("errors", pa.list_(pa.string())), ("json", pa.string())])
         return pa.array([order_calls(x, schemas) for x in column.to_pylist()], pa.list_(kind))
 
-    grouped = rows.groupBy("conv_id").agg(F.collect_list("x").alias("xs"))
-    return grouped.select("conv_id", F.inline(ordered("xs")))
+    grouped = rows.join(graphs, inside, "left_semi").groupBy("conv_id").agg(F.collect_list(F.struct(*fields)).alias("xs"))
+    return placed.union(grouped.select("conv_id", F.inline(ordered("xs"))))
 
 
 def exchanges(conversations: DataFrame) -> DataFrame:
