@@ -150,7 +150,7 @@ def test_language_model_grows_with_the_corpus(spark, monkeypatch):
     out = {}
     for r in maxent_lm.score(documents(spark, twice)).collect():
         out[r["doc_id"]] = r["perplexity"]
-    assert len(out) == 44 and len(maxent_lm.train(documents(spark, twice))[3]) > len(maxent_lm.train(documents(spark, texts[:4]))[3])
+    assert len(out) == 44 and maxent_lm.train(documents(spark, twice))[4] > maxent_lm.train(documents(spark, texts[:4]))[4]
     assert max(out[k] for k in (0, 1, 2, 3, 40, 41, 42, 43)) < 0.5 * min(out[k] for k in range(4, 40))
 
 
@@ -229,3 +229,91 @@ def test_odd_arguments_and_schemas():
     for schema in ({"type": "text"}, {"properties": {"x": {"dependentRequired": {}}}}, {"items": {"type": ["string", "whole"]}}):
         with pytest.raises(ValueError):
             chat_tools.check_schema(schema)
+
+
+def plain_model(spark, texts):
+    """Outcomes of words, and probabilities of a whole vocabulary by dictionaries and plain sums."""
+    words = [[w for w in t.split()] for t in texts]
+    (hashed,) = maxent_lm.words_of(maxent_lm.pa.array([" ".join(x for t in words for x in t)]))
+    return words, dict(zip((x for t in words for x in t), hashed.hashes, strict=True))
+
+
+def test_probabilities_and_gradient_steps_equal_plain_sums(spark):
+    texts = ["a b c a b d a", "b c", "d d d a"]
+    words, hashes = plain_model(spark, texts)
+    outcomes = maxent_lm.Outcomes(maxent_lm.vocabulary(documents(spark, texts)))
+    rng = np.random.default_rng(4)
+    a, b = maxent_lm.fresh()
+    a += rng.normal(0, 0.3, a.shape).astype(np.float32)
+    b += rng.normal(0, 0.3, b.shape).astype(np.float32)
+    number = {w: int(outcomes.of(np.array([h]))[0]) for w, h in hashes.items()}
+
+    def rows_of(history, cls):
+        one, two, three = ([maxent_lm.START] * 3 + history)[-1:-4:-1]
+        back = [np.array([x]) for x in (one, two, three)]
+        fa, fb = maxent_lm.features(back, np.array([cls]))
+        return fa[0].tolist(), fb[0].tolist()
+
+    def softmax(table, rows):
+        z = [sum(float(table[r][k]) for r in rows) for k in range(table.shape[1])]
+        e = [np.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    n, found = maxent_lm.log_probabilities(maxent_lm.pa.array(texts), outcomes, a, b)
+    sums = [[np.zeros(a.shape), np.zeros(b.shape)], [np.zeros(len(a)), np.zeros(len(b))]]
+    touched: list[list[dict]] = [[{} for _ in range(5)], [{} for _ in range(4)]]
+    for t, text in enumerate(words):
+        history, total = [], 0.0
+        for w in text:
+            o = number[w]
+            cls, inside = divmod(o, maxent_lm.PER_CLASS)
+            fa, fb = rows_of(history, cls)
+            for k, (table, rows, target) in enumerate(((a, fa, cls), (b, fb, inside))):
+                p = softmax(table, rows)
+                total += np.log(p[target])
+                gradient = np.array(p) - (np.arange(len(p)) == target)
+                for j, r in enumerate(rows):
+                    touched[k][j][r] = touched[k][j].get(r, 0) + gradient
+            history.append(o)
+        assert n[t] == len(text) and found[t] == pytest.approx(total, abs=1e-4)
+    new_a, new_b = a.copy(), b.copy()
+    rare, seen = maxent_lm.train_on(iter([maxent_lm.pa.array(texts)]), outcomes, new_a, new_b, 0.5)
+    assert rare.sum() == 0
+    for k, (old, new) in enumerate(((a, new_a), (b, new_b))):
+        expected, squares = old.astype(float).copy(), np.zeros(len(old))
+        for feature in touched[k]:  # one batch: feature by feature
+            for r, g in feature.items():
+                squares[r] += (g**2).sum()
+                expected[r] -= 0.5 / np.sqrt(squares[r] + 1e-6) * g
+        assert np.allclose(new, expected, atol=1e-4) and np.allclose(seen[k], squares, atol=1e-4)
+
+
+def test_rows_are_averaged_by_those_that_have_them():
+    one = (np.array([0, 2]), np.array([1.0, 3.0]), np.array([[1.0, 2.0], [4.0, 4.0]]))
+    two = (np.array([2]), np.array([1.0]), np.array([[0.0, 8.0]]))
+    assert maxent_lm.averaged([one, two], 4, 2).tolist() == [[1, 2], [0, 0], [3, 5], [0, 0]]
+
+
+def test_conversations_by_ranges_and_as_graphs_equal_plain_ordering(spark):
+    rng = random.Random(3)
+    rows, plain = [], {}
+    for conv in (None, 1, 2, 3, 4):
+        back_only = conv in (1, 2)
+        ids = [f"c{k}" for k in range(60 if conv == 1 else 14)]
+        calls, turn = [], 0
+        for k, i in enumerate(ids):
+            refs = [{"$ref": rng.choice(ids[:k] if back_only else [*ids, "gone"])} for _ in range(rng.randrange(3) if k else 0)] if rng.random() < 0.5 else []
+            calls.append((turn, {"id": rng.choice([i, i, i, None]) if not back_only else i, "name": "f", "arguments": {"x": rng.randrange(3), "y": refs}}))
+            turn += rng.randrange(2)
+        for t in sorted({t for t, _ in calls}):
+            rows.append((conv, t, "assistant", json.dumps({"tool_calls": [c for u, c in calls if u == t]})))
+        for k in range(10):
+            rows.append((conv, 100 + k // 2, "tool", json.dumps({"tool_call_id": rng.choice([*ids, None]), "content": f"r{k % 7}"})))
+    rng.shuffle(rows)
+    linked, _ = chat_tools._linked(chat(spark, rows), "conv_id", "turn", "role", "text")
+    for r in linked.collect():
+        plain.setdefault(r["conv_id"], []).append(r.asDict())
+    expected = sorted(((conv, *o.values()) for conv, group in plain.items() for o in chat_tools.order_calls(group, SCHEMAS)), key=repr)
+    out = chat_tools.link(chat(spark, rows), SCHEMAS)
+    assert out.columns == ["conv_id", "position", "call_id", "name", "status", "valid", "errors", "json"]
+    assert sorted(map(tuple, out.collect()), key=repr) == expected
