@@ -329,3 +329,57 @@ def catalogue_leftovers(t: Tables) -> lk.LazyFrame:
 def catalogue_exact_histogram(t: Tables) -> lk.LazyFrame:
     h = t.orders.with_columns((col("o_custkey") % 10).alias("g")).group_by("g").agg(fn.histogram_exact(col("o_orderstatus"), ["F", "O"]).alias("h"))
     return h.select("g", *[fn.map_extract_value(col("h"), key).alias(name) for name, key in (("f", "F"), ("o", "O"), ("rest", "other"))])
+
+
+@_query(
+    "SELECT c_custkey, " + ", ".join(f"round({f}, 9) AS {n}" for n, f in {
+        "a1": "abs(x)", "a2": "acos(u)", "a3": "asin(u)", "a4": "atan(x)", "a5": "atan2(x, 2.5)", "a6": "cbrt(x)", "a7": "cos(x)", "a8": "degrees(u)", "a9": "exp(u)", "b1": "radians(x)", "b2": "sin(x)", "b3": "sinh(u)", "b4": "tanh(u)", "b5": "sqrt(abs(x))", "b6": "tan(u)", "b7": "asinh(x)", "b8": "cot(u + 2)", "b9": "atanh(u / 2)",
+    }.items())
+    + ", ceil(x)::BIGINT AS c1, floor(x)::BIGINT AS c2, sign(x)::BIGINT AS c3, nullif(c_nationkey, 3) AS c4, round(x, 1) AS c5, factorial(c_nationkey % 15)::BIGINT AS c6 FROM (SELECT *, c_acctbal AS x, c_nationkey / 25.0 AS u FROM customer)"
+)
+def catalogue_numbers(t: Tables) -> lk.LazyFrame:
+    x, u, k = col("c_acctbal"), col("c_nationkey").cast("Float64") / 25.0, col("c_nationkey")
+    made = {
+        "a1": fn.abs(x), "a2": fn.acos(u), "a3": fn.asin(u), "a4": fn.atan(x), "a5": fn.atan2(x, 2.5), "a6": fn.cbrt(x), "a7": fn.cos(x), "a8": fn.degrees(u), "a9": fn.exp(u), "b1": fn.radians(x), "b2": fn.sin(x), "b3": fn.sinh(u), "b4": fn.tanh(u),
+        "b5": fn.sqrt(fn.abs(x)), "b6": fn.tan(u), "b7": fn.asinh(x), "b8": fn.cot(u + 2), "b9": fn.atanh(u / 2),
+    }
+    return t.customer.select(
+        "c_custkey", *[e.round(9, mode="half_away_from_zero").alias(n) for n, e in made.items()],
+        fn.ceil(x).cast("Int64").alias("c1"), fn.floor(x).cast("Int64").alias("c2"), fn.sign(x).cast("Int64").alias("c3"), fn.nullif(k, 3).alias("c4"), fn.round(x, 1).alias("c5"), fn.factorial(k % 15).alias("c6"),
+    )
+
+
+@_query(
+    "SELECT p_partkey, ascii(s)::BIGINT AS a, bit_length(s)::BIGINT AS b, length(s)::BIGINT AS c, concat_ws('-', s, p_brand) AS d, contains(s, 'a') AS e, hex(s) AS f, instr(s, 'e')::BIGINT AS g, left(s, 3) AS h, right(s, 3) AS i, lower(s) AS j, upper(s) AS k, "
+    "ltrim('  ' || s) AS l, rtrim(s || '  ') AS m, md5(s) AS n, position('e' IN s)::BIGINT AS o, printf('%s/%d', s, p_size) AS p, repeat(s, 2) AS q, replace(s, 'e', 'EE') AS r, reverse(s) AS t, substr(s, 2, 3) AS u, substring(s, 3, 2) AS v, "
+    "translate(s, 'abe', 'xyz') AS w, sha1(s) AS x, strlen(s)::BIGINT AS y, regexp_extract(s, '([a-z]+)', 1) AS z FROM (SELECT *, p_name AS s FROM part)"
+)
+def catalogue_texts(t: Tables) -> lk.LazyFrame:
+    s, size = col("p_name"), col("p_size")
+    return t.part.select(
+        "p_partkey", _long(fn.ascii(s), "a"), _long(fn.bit_length(s), "b"), _long(fn.length(s), "c"), fn.concat_ws("-", s, col("p_brand")).alias("d"), fn.contains(s, "a").alias("e"), fn.hex(s).alias("f"), _long(fn.instr(s, "e"), "g"),
+        fn.left(s, 3).alias("h"), fn.right(s, 3).alias("i"), fn.lower(s).alias("j"), fn.upper(s).alias("k"), fn.ltrim(fn.concat(lit("  "), s)).alias("l"), fn.rtrim(fn.concat(s, lit("  "))).alias("m"), fn.md5(s).alias("n"),
+        _long(fn.position("e", s), "o"), fn.printf("%s/%d", s, size).alias("p"), fn.repeat(s, 2).alias("q"), fn.replace(s, "e", "EE").alias("r"), fn.reverse(s).alias("t"), fn.substr(s, 2, 3).alias("u"), fn.substring(s, 3, 2).alias("v"),
+        fn.translate(s, "abe", "xyz").alias("w"), fn.sha1(s).alias("x"), _long(fn.strlen(s), "y"), fn.regexp_extract(s, "([a-z]+)", 1).alias("z"),
+    )
+
+
+@_query(
+    "SELECT o_orderkey, day(d)::BIGINT AS a, dayofmonth(d)::BIGINT AS b, dayofyear(d)::BIGINT AS c, hour(d)::BIGINT AS d, last_day(d) AS e, make_date(year(d), month(d), 1) AS f, minute(d)::BIGINT AS g, month(d)::BIGINT AS h, quarter(d)::BIGINT AS i, second(d)::BIGINT AS j, year(d)::BIGINT AS k, "
+    "make_timestamp(year(d), 1, 2, 3, 4, 5.5) AS l, list_sort(list_intersect([o_custkey % 3, 1, 2], [1, 2, 5])) AS m, list_prepend(o_custkey, [1, 2]) AS n, map_keys(map_concat(MAP {o_orderstatus: 1}, MAP {'Z': 2})) AS o, "
+    "map_values(MAP {o_orderstatus: o_custkey}) AS p, map_keys(map_from_entries([(o_orderstatus, 1)])) AS q, len(map_entries(MAP {o_orderstatus: 1}))::BIGINT AS r FROM (SELECT *, o_orderdate AS d FROM orders)"
+)
+def catalogue_times_and_lists(t: Tables) -> lk.LazyFrame:
+    d, k, s = col("o_orderdate"), col("o_custkey"), col("o_orderstatus")
+    one = lambda key, value: fn.map(fn.list_value(key), fn.list_value(value))
+    pair = fn.list_value(fn.row(s, lit(1)))
+    return t.orders.select(
+        "o_orderkey", _long(fn.day(d), "a"), _long(fn.dayofmonth(d), "b"), _long(fn.dayofyear(d), "c"), _long(fn.hour(d), "d"), fn.last_day(d).alias("e"), fn.make_date(fn.year(d), fn.month(d), lit(1)).alias("f"), _long(fn.minute(d), "g"), _long(fn.month(d), "h"),
+        _long(fn.quarter(d), "i"), _long(fn.second(d), "j"), _long(fn.year(d), "k"), fn.make_timestamp(fn.year(d), lit(1), lit(2), lit(3), lit(4), lit(5.5)).cast("timestamp_ntz").alias("l"),
+        fn.list_sort(fn.list_intersect(fn.list_value(k % 3, lit(1), lit(2)), fn.list_value(lit(1), lit(2), lit(5)))).alias("m"), fn.list_prepend(fn.list_value(lit(1), lit(2)), k).alias("n"), fn.map_keys(fn.map_concat(one(s, lit(1)), one(lit("Z"), lit(2)))).alias("o"),
+        fn.map_values(one(s, k)).alias("p"), fn.map_keys(fn.map_from_entries(pair)).alias("q"), _long(fn.array_length(fn.map_entries(one(s, lit(1)))), "r"),
+    )
+
+
+def _long(e: lk.Expr, name: str) -> lk.Expr:
+    return e.cast("Int64").alias(name)
