@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import active, ensure
+
 
 def divide(a: Column, b: Column) -> Column:
     """Division of doubles: by zero it gives an infinity or NaN."""
@@ -29,6 +31,18 @@ def ln(a: Column) -> Column:
     return F.when(a == 0, float("-inf")).otherwise(F.ln(a))
 
 
+def time_of(a: Column) -> Column:
+    """The time of day of a timestamp."""
+    ensure(active())
+    return F.make_time(F.hour(a), F.minute(a), F.date_format(a, "ss.SSSSSS").cast("decimal(16,6)"))
+
+
+def to_time(a: Column, pattern: str | None = None) -> Column:
+    """A text as a time of day."""
+    ensure(active())
+    return F.to_time(a, F.lit(pattern)) if pattern else F.to_time(a)
+
+
 def cast(a: Column, source: T.DataType | None, to: T.DataType) -> Column:
     """Doubles and decimals are rounded, not cut, on the way to integers; so are texts of numbers."""
     if isinstance(to, T.IntegralType):
@@ -38,10 +52,12 @@ def cast(a: Column, source: T.DataType | None, to: T.DataType) -> Column:
             return F.round(a).cast(to)
         if isinstance(source, T.StringType):
             return F.bround(a.cast("double")).cast(to)
-    if isinstance(to, T.TimeType) and isinstance(source, T.TimestampNTZType):
-        return F.make_time(F.hour(a), F.minute(a), F.date_format(a, "ss.SSSSSS").cast("decimal(16,6)"))
-    if isinstance(to, T.TimeType) and isinstance(source, T.StringType):
-        return F.to_time(a)
+    if isinstance(to, T.TimeType):
+        ensure(active())
+        if isinstance(source, T.TimestampNTZType):
+            return time_of(a)
+        if isinstance(source, T.StringType):
+            return to_time(a)
     return a.cast(to)
 
 

@@ -127,7 +127,7 @@ class Str(_Namespace):
         return self.to_datetime(format)
 
     def to_time(self, format: str | None = None) -> Expr:  # noqa: A002
-        return self._map(lambda a: F.to_time(a, F.lit(java_pattern(format))) if format else F.to_time(a))
+        return self._map(lambda a: scalar.to_time(a, java_pattern(format) if format else None))
 
     def encode(self, encoding: str = "base64") -> Expr:
         if encoding not in ("base64", "hex"):
@@ -372,7 +372,7 @@ class Dt(_Namespace):
         return self._map(lambda a: a.cast("date"))
 
     def time(self) -> Expr:
-        return self._map(lambda a: F.make_time(F.hour(a), F.minute(a), F.date_format(a, "ss.SSSSSS").cast("decimal(16,6)")))
+        return self._map(scalar.time_of)
 
     def to_string(self, format: str) -> Expr:  # noqa: A002
         return self._map(lambda a: F.date_format(a, java_pattern(format)))

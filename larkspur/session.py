@@ -31,7 +31,7 @@ def active() -> SparkSession:
 
 
 def ensure(spark: SparkSession, *names: str) -> None:
-    """Switch on settings that an expression needs."""
+    """Switch on settings that an expression needs, for the rest of the session; a plan that has it needs them whenever it runs."""
     for name in names or ("spark.sql.timeType.enabled",):
         if spark.conf.get(name, None) != SETTINGS[name]:
             spark.conf.set(name, SETTINGS[name])
