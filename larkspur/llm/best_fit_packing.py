@@ -6,7 +6,8 @@ this order pairs every remainder with the least gap that is not smaller and not
 takes the top. Partitions sweep on their own; what they leave is counted, and their counts tell, by rank, which gap of which
 earlier partition each left remainder takes. So a round gives every gap to one remainder at most and is exact over the
 whole table. Gaps are then updated. When a round places few of the remainders, as many empty sequences as the
-rest needs at least are opened. Each round is written to the shared folder.
+rest needs at least are opened, unless no more than ``TAIL`` are left: these few, too large for any gap but some, are packed into sequences of their own by one task, largest first
+into the least gap that is not smaller. Each round is written to the shared folder.
 
 Defined results: null and empty texts occupy nothing and have no row; rows that repeat are packed each; among equal sizes the order
 is that of the internal row numbers; other columns are ignored.
@@ -14,6 +15,7 @@ is that of the internal row numbers; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,8 @@ CAPACITY = 8192
 FEW = 20
 #: Remainders and gaps for each partition of a sweep.
 ITEMS = 200_000
+#: Remainders that one task packs at the end.
+TAIL = 10_000
 
 
 def sweep(size: np.ndarray, is_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,6 +93,33 @@ def ranks_across(counts: dict[tuple[int, int], int]) -> list[tuple[int, int, int
     return out
 
 
+def best_fit(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
+    """(sequence, start) of each size, in order, each into the least gap that is not smaller."""
+    gaps: list[tuple[int, int]] = []
+    out, opened = [], 0
+    for size in sizes:
+        k = bisect_left(gaps, (size, -1))
+        if k < len(gaps):
+            gap, number = gaps.pop(k)
+        else:
+            gap, number, opened = capacity, opened, opened + 1
+        out.append((number, capacity - gap))
+        if gap > size:
+            insort(gaps, (gap - size, number))
+    return out
+
+
+def _tail(capacity: int, opened: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((-size, uid) for b in batches for uid, size in zip(*(c.to_pylist() for c in b.columns), strict=True)))
+        if rows:
+            found = best_fit([-size for size, _ in rows], capacity)
+            cols = ([uid for _, uid in rows], [opened + number for number, _ in found], [start for _, start in found])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["uid", "bin", "bin_start"])
+
+    return run
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(bin_id, bin_start, doc_id, doc_start, n_bytes): which bytes of which document lie where in which sequence."""
     spark = docs.sparkSession
@@ -135,6 +166,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id:
         before = n_todo
         n_todo, todo_bytes = settled.where("bin is null").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         opening = (before - n_todo) * FEW < before
+        if opening and 0 < n_todo <= TAIL:
+            last, p_last = store(settled.where("bin is null").select("uid", "size").coalesce(1).mapInArrow(_tail(capacity, opened), "uid long, bin long, bin_start long"))
+            placed.append((last, p_last))
+            opened, n_todo = last.agg(F.max("bin")).first()[0] + 1, 0
     columns = ["bin_id", "bin_start", "doc_id", "doc_start", "n_bytes"]
     whole = known.where(F.col("n") >= capacity).select("doc_id", "uid", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n div {capacity} - 1"))).alias("k"))
     whole, p_whole = store(whole.withColumn("bin_id", F.monotonically_increasing_id() + opened))
