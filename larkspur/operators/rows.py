@@ -18,23 +18,24 @@ def explode(df: DataFrame, names: list[str], outer: bool = True) -> DataFrame:
     return long.select(*[F.col("__zipped").getField(f"_{names.index(c)}").alias(c) if c in names else quoted(c) for c in df.columns])
 
 
-SPLITS, SAMPLES = 64, 16
+SPLITS, LEVELS, SAMPLES = 16, 3, 4
 
 
 def indexed(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
     """A first column with the place of each row in an ascending order with nulls first, from 0; without order the rows as they come.
 
     Rows are numbered within ranges of their keys, and the sizes of the ranges before, a row each, are added: no task sorts all rows, as under a
-    window without keys. The borders, up to ``SPLITS`` squared, are a subquery over the keys with the least hashes, a bounded number; a row finds its range in two steps. Nothing
+    window without keys. The borders, up to 16 to the power of 3, are a subquery over the keys with the least hashes, a bounded number; a row finds its range in three steps of 16. Nothing
     runs before the frame does."""
     keys = order or [F.monotonically_increasing_id()]
     keyed = df.select(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("__key"), *[quoted(c) for c in df.columns])
-    picked = keyed.select("__key").orderBy(F.xxhash64("__key")).limit(SPLITS * SPLITS * SAMPLES)
-    fine = picked.agg(F.array_sort(F.collect_list("__key")).alias("x")).select(F.filter("x", lambda _, i: i % SAMPLES == SAMPLES - 1).alias("fine"))
-    borders = fine.select(F.struct(F.filter("fine", lambda _, i: i % SPLITS == SPLITS - 1).alias("coarse"), "fine").alias("x"))
-    below = lambda a: F.size(F.filter(a, lambda b: b <= F.col("__key")))
-    ranged = keyed.withColumn("__borders", borders.scalar()).withColumn("__coarse", below(F.col("__borders.coarse")))
-    ranged = ranged.withColumn("__range", F.col("__coarse") * SPLITS + below(F.slice("__borders.fine", F.col("__coarse") * SPLITS + 1, SPLITS))).drop("__borders", "__coarse")
+    picked = keyed.select("__key").orderBy(F.xxhash64("__key")).limit(SPLITS**LEVELS * SAMPLES)
+    every = lambda n: lambda _, i: i % n == n - 1
+    fine = picked.agg(F.array_sort(F.collect_list("__key")).alias("x")).select(F.filter("x", every(SAMPLES)).alias("x"))
+    borders = fine.select(F.array(*[F.filter("x", every(SPLITS ** (LEVELS - k))) for k in range(1, LEVELS)], F.col("x")).alias("x"))
+    # folded over the levels, so that no step is written out twice; never null, or the join below would look for nulls by finding the ranges once more
+    within = lambda r, level: r * SPLITS + F.size(F.filter(F.slice(level, r * SPLITS + 1, SPLITS), lambda b: b <= F.col("__key")))
+    ranged = keyed.withColumn("__borders", borders.scalar()).withColumn("__range", F.coalesce(F.aggregate("__borders", F.lit(0), within), F.lit(0))).drop("__borders")
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
