@@ -25,7 +25,7 @@ import re
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import discard, store
@@ -270,28 +270,28 @@ def link(messages: DataFrame, schemas: dict[str, dict], conv_id: str = "conv_id"
 
     rows, paths = _linked(messages, conv_id, turn, role, text)
     fields = ["turn", "place", "call_id", "name", "arguments", "result", "status"]
-    seen = rows.withColumn("seen", read(F.struct("call_id", "name", "arguments", "result", "status"))).withColumn("uid", F.monotonically_increasing_id())
-    key = [F.col("turn").isNull(), F.coalesce("turn", F.lit(0)), "place", F.coalesce("call_id", F.lit("")), F.coalesce("arguments", F.lit("")), F.coalesce("name", F.lit(""))]
-    rows, p4 = store(seen.withColumn("key", F.struct(*[k.alias(f"k{i}") if isinstance(k, Column) else F.col(k).alias(f"k{i}") for i, k in enumerate(key)])))
+    seen = rows.withColumn("seen", read(F.struct("call_id", "name", "arguments", "result", "status")))
+    key = [F.col("turn").isNull(), F.coalesce("turn", F.lit(0)), F.col("place"), F.coalesce("call_id", F.lit(""))]
+    rows, _ = store(seen.withColumn("key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)])))
     discard(rows.sparkSession, *paths)
 
     owners = rows.where("call_id is not null and status in ('linked', 'unanswered')").select(F.col("conv_id").alias("o_conv"), F.col("call_id").alias("o_id"), F.col("key").alias("o_key"))
     wanted = rows.select("conv_id", "key", F.explode("seen.refs").alias("ref"))
-    back = F.coalesce(F.col("o_key") < F.col("key"), F.lit(False))
-    graphs, p5 = store(wanted.join(owners, F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("ref") == F.col("o_id")), "left").where(~back).select(F.col("conv_id").alias("g_conv")).distinct())
+    back = F.coalesce(F.col("o_key") < F.col("key"), F.lit(False))  # rows that are equal so far are left to the graph
+    graphs, _ = store(wanted.join(owners, F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("ref") == F.col("o_id")), "left").where(~back).select(F.col("conv_id").alias("g_conv")).distinct())
     inside = F.col("conv_id").eqNullSafe(F.col("g_conv"))
 
     # numbered by ranges: within a range of conversations and places, after what earlier ranges have of the conversation
-    plain = rows.join(graphs, inside, "left_anti")
+    plain = rows.select("conv_id", "key", "call_id", "name", "status", "arguments", "seen.errors", "seen.json").join(graphs, inside, "left_anti")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged, _ = store(plain.repartitionByRange(n, "conv_id", "key.k0", "key.k1", "key.k2").withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("conv_id", "part").agg(F.count("*").alias("size"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("conv_id").alias("s_conv"), F.col("part").alias("s_part"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")).where("offset > 0")
-    local = F.row_number().over(Window.partitionBy("part", "conv_id").orderBy("key")) - 1
+    local = F.row_number().over(Window.partitionBy("part", "conv_id").orderBy("key", F.coalesce("arguments", F.lit("")), F.coalesce("name", F.lit("")))) - 1
     placed = ranged.withColumn("local", local).join(offsets, F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("part") == F.col("s_part")), "left")
-    valid = (F.size("seen.errors") == 0) & ~F.col("status").isin("orphan", "extra")
-    placed = placed.select("conv_id", (F.col("local") + F.coalesce("offset", F.lit(0))).cast("int").alias("position"), "call_id", "name", "status", valid.alias("valid"), F.col("seen.errors").alias("errors"), F.col("seen.json").alias("json"))
+    valid = (F.size("errors") == 0) & ~F.col("status").isin("orphan", "extra")
+    placed = placed.select("conv_id", (F.col("local") + F.coalesce("offset", F.lit(0))).cast("int").alias("position"), "call_id", "name", "status", valid.alias("valid"), "errors", "json")
 
     @F.arrow_udf("array<struct<position: int, call_id: string, name: string, status: string, valid: boolean, errors: array<string>, json: string>>")
     def ordered(column: pa.Array) -> pa.Array:
