@@ -6,9 +6,10 @@ Huffman tables. Frames with the same headers are decoded side by side: every ste
 frames, the largest of any component, stands out from the differences around it: it must exceed their median by a multiple of their deviation (the median of
 distances to it), and by a small floor and what differs between samples of one picture, which is more the smaller it is. So where most frames around are cuts, none stands out.
 
-Defined results: null, empty and broken files and those without video have no clips; a frame that can't be decoded, has more blocks than its data can hold, or is empty (a repeat of the one before),
-shows the last good one, and frames before the first good one count as black; a file of one frame is one clip; rows that repeat give clips each; other columns are ignored; a key column
-named like one of the result is a ValueError.
+Defined results: null, empty and broken files and those without video have no clips; a frame that can't be decoded, lacks a part of its data, has more blocks than its data can hold, or is empty (a repeat of
+the one before), shows the last good one, and frames before the first good one count as black; all of these but the empty ones are counted in ``bad_frames`` of their clip, so a film of which nothing can be
+decoded is one clip of bad frames only; a file of one frame is one clip; rows that repeat give clips each; other columns are ignored; a key column named like one of the result is a ValueError. Only what a file's
+bytes say makes a frame bad: any other failure, as of memory, fails the query.
 """
 
 from __future__ import annotations
@@ -68,6 +69,10 @@ def peek_table(counts: bytes, symbols: bytes) -> list[int]:
     return out.tolist()
 
 
+class BrokenScan(ValueError):
+    """The data of an image aren't what its headers say."""
+
+
 class Bits:
     """Reads entropy-coded bits; beyond the end come ones."""
 
@@ -85,7 +90,7 @@ class Bits:
             self.fill()
         x = table[self.bits >> self.have - 16 & 0xFFFF]
         if not x:
-            raise ValueError("no such Huffman code")
+            raise BrokenScan("no such Huffman code")
         self.have -= x >> 8
         return x & 255
 
@@ -98,6 +103,10 @@ class Bits:
         x = self.bits >> self.have & (1 << n) - 1
         return x if x >> n - 1 else x - (1 << n) + 1
 
+    def beyond(self) -> bool:
+        """Whether more was read than there is."""
+        return 8 * self.at - self.have > 8 * len(self.raw)
+
 
 @dataclass
 class _Component:
@@ -125,8 +134,11 @@ class Header:
 
     def __post_init__(self) -> None:
         self.top_h, self.top_v = max(c.h for c in self.parts), max(c.v for c in self.parts)
-        if any(not c.h or not c.v or self.top_h % c.h or self.top_v % c.v for c in self.parts):
-            raise ValueError("sampling factors that don't divide")
+        if any(not c.h or not c.v or self.top_h % c.h or self.top_v % c.v for c in self.parts) or max(self.top_h, self.top_v) > 4:
+            raise ValueError("sampling factors that don't divide or are beyond 4")
+        for counts, symbols in self.huff:
+            if len(counts) < 16 or len(symbols) < sum(counts) or sum(n << 16 - size for size, n in enumerate(counts, 1)) > 1 << 16:
+                raise ValueError("not a Huffman table")
         self.across, self.down = -(-self.width // (8 * self.top_h)), -(-self.height // (8 * self.top_v))
         self.mcus = self.across * self.down
         #: The component of each block of an MCU.
@@ -140,9 +152,7 @@ class Header:
 
     def check(self, size: int) -> None:
         """A block takes two bits at least."""
-        if self.n_blocks > 4 * size and not self.interval:
-            raise ValueError("more blocks than data")
-        if self.n_blocks > 4 * size + 64 * len(self.pattern) * self.interval:
+        if self.n_blocks > 4 * size:
             raise ValueError("more blocks than data")
 
 
@@ -236,7 +246,10 @@ def _segments(raw: bytes) -> list[bytes]:
 def _streams(h: Header, scan: bytes) -> list[tuple[bytes, int, int]]:
     """The data between restart markers, with its first block and its number of blocks."""
     step = h.interval * len(h.pattern) if h.interval else h.n_blocks
-    return [(data, k * step, min(step, h.n_blocks - k * step)) for k, data in enumerate(_segments(scan)) if k * step < h.n_blocks]
+    out = [(data, k * step, min(step, h.n_blocks - k * step)) for k, data in enumerate(_segments(scan)) if k * step < h.n_blocks]
+    if len(out) * step < h.n_blocks:
+        raise BrokenScan("too few restart intervals")
+    return out
 
 
 def plain_coefficients(h: Header, scan: bytes) -> np.ndarray:
@@ -250,7 +263,7 @@ def plain_coefficients(h: Header, scan: bytes) -> np.ndarray:
             block, c = out[first + b], pattern[b % len(pattern)]
             size = bits.symbol(tables[2 * c])
             if size > 15:
-                raise ValueError("too large a difference")
+                raise BrokenScan("too large a difference")
             block[0] = bits.number(size)
             ac, at = tables[2 * c + 1], 1
             while at < 64:
@@ -262,9 +275,11 @@ def plain_coefficients(h: Header, scan: bytes) -> np.ndarray:
                     continue
                 at += s >> 4
                 if at > 63:
-                    raise ValueError("too many coefficients")
+                    raise BrokenScan("too many coefficients")
                 block[zigzag[at]] = bits.number(s & 15)
                 at += 1
+        if bits.beyond():
+            raise BrokenScan("the data end too early")
     return out
 
 
@@ -297,7 +312,7 @@ def coefficients(h: Header, streams: list[tuple[bytes, int, int]], n_blocks: int
         run = symbol >> 4
         k += np.where(ahead, run, 0)
         kept = (n > 0) | ~ahead
-        bad = (found == 0) | (~ahead & (run > 0)) | ((k > 63) & (n > 0))
+        bad = (found == 0) | (~ahead & (run > 0)) | ((k > 63) & (n > 0)) | (pos > end)
         cell = np.where(kept & ~bad, block * 64 + zigzag[np.minimum(k, 64)], n_blocks * 64)
         out[cell] = bits - _LOW[n] * (bits < _HALF[n])
         k = np.where(kept | (run == 15), k + 1, 64)
@@ -316,34 +331,37 @@ def coefficients(h: Header, streams: list[tuple[bytes, int, int]], n_blocks: int
 _BASIS = np.kron(_DCT, _DCT)
 
 
-def samples(h: Header, coded: np.ndarray) -> Iterator[np.ndarray]:
-    """For each component its samples, (frames, height, width), brought to full size."""
+def samples(h: Header, coded: np.ndarray, rows: int = 1 << 16) -> Iterator[tuple[int, np.ndarray]]:
+    """For each component and so many rows of MCUs its number and samples, (frames, height, width), brought to full size."""
     frames = len(coded) // h.n_blocks
-    mcu = coded.reshape(frames, h.mcus, len(h.pattern), 64)
+    mcu = coded.reshape(frames, h.down, h.across, len(h.pattern), 64)
     begin = 0
-    for c, quant in zip(h.parts, h.quant, strict=True):
+    for number, (c, quant) in enumerate(zip(h.parts, h.quant, strict=True)):
         each = c.h * c.v
-        own = mcu[:, :, begin : begin + each].reshape(frames, -1, 64)
+        own = mcu[:, :, :, begin : begin + each]
         begin += each
-        step = h.interval * each if h.interval else own.shape[1]
-        first = np.zeros((frames, -(-own.shape[1] // step) * step), np.int64)
-        first[:, : own.shape[1]] = own[:, :, 0]
-        first = np.cumsum(first.reshape(frames, -1, step), 2).reshape(frames, -1)[:, : own.shape[1]].reshape(-1)
-        flat, pixels = own.reshape(-1, 64), np.empty((frames * own.shape[1], 64), np.uint8)
-        for a in range(0, len(flat), 1 << 15):
-            x = flat[a : a + (1 << 15)].astype(float)
-            x[:, 0] = first[a : a + (1 << 15)]
-            # a little above a half, so that ties go up whatever the order of the sum
-            pixels[a : a + (1 << 15)] = np.clip(np.floor((x * quant) @ _BASIS + (128.5 + 1e-7)), 0, 255)
-        plane = pixels.reshape(frames, h.down, h.across, c.v, c.h, 8, 8).transpose(0, 1, 3, 5, 2, 4, 6).reshape(frames, h.down * c.v * 8, h.across * c.h * 8)
-        yield plane.repeat(h.top_v // c.v, 1).repeat(h.top_h // c.h, 2)[:, : h.height, : h.width]
+        step = h.interval * each if h.interval else h.mcus * each
+        first = np.zeros((frames, -(-h.mcus * each // step) * step), np.int64)
+        first[:, : h.mcus * each] = own[..., 0].reshape(frames, -1)
+        first = np.cumsum(first.reshape(frames, -1, step), 2).reshape(frames, -1)[:, : h.mcus * each].reshape(frames, h.down, -1)
+        for top in range(0, h.down, rows):
+            flat, level = own[:, top : top + rows].reshape(-1, 64), first[:, top : top + rows].reshape(-1)
+            pixels = np.empty((len(flat), 64), np.uint8)
+            for a in range(0, len(flat), 1 << 15):
+                x = flat[a : a + (1 << 15)].astype(float)
+                x[:, 0] = level[a : a + (1 << 15)]
+                # a little above a half, so that ties go up whatever the order of the sum
+                pixels[a : a + (1 << 15)] = np.clip(np.floor((x * quant) @ _BASIS + (128.5 + 1e-7)), 0, 255)
+            down = min(rows, h.down - top)
+            plane = pixels.reshape(frames, down, h.across, c.v, c.h, 8, 8).transpose(0, 1, 3, 5, 2, 4, 6).reshape(frames, down * c.v * 8, h.across * c.h * 8)
+            yield number, plane.repeat(h.top_v // c.v, 1).repeat(h.top_h // c.h, 2)[:, : h.height - top * h.top_v * 8, : h.width]
 
 
 def decode_jpeg(raw: bytes) -> np.ndarray:
     """The samples of an image, (height, width, components) as uint8, each component brought to full size."""
     h = header_of(raw)
     h.check(len(raw))
-    return np.stack([x[0] for x in samples(h, plain_coefficients(h, raw[h.end :]))], 2)
+    return np.stack([x[0] for _, x in samples(h, plain_coefficients(h, raw[h.end :]))], 2)
 
 
 @lru_cache(4)
@@ -564,19 +582,24 @@ _SHARE = _shares()
 def _counted(h: Header, coded: np.ndarray) -> np.ndarray:
     """(frames, PARTS, BINS): shares of the samples of each component."""
     frames = len(coded) // h.n_blocks
-    out = np.tile(_SHARE[128], (frames, PARTS, 1))
-    for c, plane in enumerate(samples(h, coded)):
-        if c < PARTS:
-            at = plane.reshape(frames, -1) + 256 * np.arange(frames)[:, None]
-            out[:, c] = np.bincount(at.ravel(), minlength=256 * frames).reshape(frames, 256) @ _SHARE / (h.width * h.height)
+    out, parts = np.tile(_SHARE[128], (frames, PARTS, 1)), min(PARTS, len(h.parts))
+    counts = np.zeros((parts, frames * 256), np.int64)
+    # samples take more room than coefficients, so those of a large picture are counted in strips
+    for c, plane in samples(h, coded, max(BLOCKS // (frames * h.across * h.top_h * h.top_v), 1)):
+        if c >= parts:
+            break
+        at = plane.reshape(frames, -1) + 256 * np.arange(frames)[:, None]
+        counts[c] += np.bincount(at.ravel(), minlength=256 * frames)
+    out[:, :parts] = (counts.reshape(parts, frames, 256) @ _SHARE).transpose(1, 0, 2) / (h.width * h.height)
     return out
 
 
-_BROKEN = (ValueError, IndexError, KeyError, struct.error, MemoryError)
+#: What reading headers gives where bytes are missing or make no sense. Nothing else may pass for a broken file, lack of memory least of all.
+_BROKEN = (ValueError, IndexError, KeyError, struct.error)
 
 
 def histograms(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Histograms of frames, their numbers of samples, and which are good; components that a frame lacks count as neutral."""
+    """Histograms of frames, their numbers of samples, and which are good; components that a frame lacks count as neutral. Frames are bad for their bytes only, other failures are raised."""
     hist, sizes, good = np.zeros((len(frames), PARTS, BINS)), np.ones(len(frames)), np.zeros(len(frames), bool)
     alike: dict[int, list[int]] = defaultdict(list)
     headers: dict[int, Header] = {}
@@ -592,30 +615,34 @@ def histograms(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         h = headers[key]
         at = 0
         while at < len(members):
-            begin, n_bytes = at, 0
+            n_bytes = 0
             streams: list[tuple[bytes, int, int]] = []
             owner: list[int] = []
-            while at < len(members) and (at == begin or ((at - begin + 1) * h.n_blocks <= BLOCKS and n_bytes <= BYTES)):
+            part: list[int] = []
+            while at < len(members) and (not part or ((len(part) + 1) * h.n_blocks <= BLOCKS and n_bytes <= BYTES)):
                 raw = frames[members[at]]
-                own = _streams(h, raw[h.end :])
-                streams += [(d, b + (at - begin) * h.n_blocks, n) for d, b, n in own]
-                owner += [at - begin] * len(own)
-                n_bytes += len(raw)
                 at += 1
-            part, fine = np.array(members[begin:at]), np.ones(at - begin, bool)
-            try:
-                if len(streams) >= SIDE_BY_SIDE:
-                    coded, broken = coefficients(h, streams, len(part) * h.n_blocks)
-                    fine[np.array(owner)[broken]] = False
-                    hist[part] = _counted(h, coded)
-                else:
-                    for k, x in enumerate(part):
-                        try:
-                            hist[x] = _counted(h, plain_coefficients(h, frames[x][h.end :]))[0]
-                        except _BROKEN:
-                            fine[k] = False
-            except _BROKEN:
-                fine[:] = False
+                try:
+                    own = _streams(h, raw[h.end :])
+                except BrokenScan:
+                    continue
+                streams += [(d, b + len(part) * h.n_blocks, n) for d, b, n in own]
+                owner += [len(part)] * len(own)
+                part.append(members[at - 1])
+                n_bytes += len(raw)
+            fine = np.ones(len(part), bool)
+            if len(streams) >= SIDE_BY_SIDE:
+                coded, broken = coefficients(h, streams, len(part) * h.n_blocks)
+                fine[np.array(owner)[broken]] = False
+                hist[part] = _counted(h, coded)
+            else:
+                for k, x in enumerate(part):
+                    try:
+                        coded = plain_coefficients(h, frames[x][h.end :])
+                    except BrokenScan:
+                        fine[k] = False
+                        continue
+                    hist[x] = _counted(h, coded)[0]
             good[part], sizes[part] = fine, h.width * h.height
     return hist, sizes, good
 
@@ -628,18 +655,20 @@ def _medians(x: np.ndarray) -> np.ndarray:
     return np.where(n > 0, (x[row, most // 2] + x[row, np.minimum(n // 2, most)]) / 2, 0.0)
 
 
-def differences(films: list[tuple[bytes, Video]]) -> tuple[np.ndarray, np.ndarray]:
-    """For each frame of all films the histogram difference to the one before, NaN for a film's first, and what differs between samples of one picture."""
+def differences(films: list[tuple[bytes, Video]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each frame of all films the histogram difference to the one before, NaN for a film's first, what differs between samples of one picture, and whether it is bad."""
     places = [(f, at, size) for f, (_, video) in enumerate(films) for at, size in video.frames]
     film = np.array([f for f, _, _ in places], np.int64)
     begins = np.diff(film, prepend=-1) > 0
     d, noise = np.full(len(places), np.nan), np.zeros(len(places))
+    bad = np.array([size > 0 for _, _, size in places], bool)
     black = np.tile(_SHARE[128], (PARTS, 1))
     black[0] = _SHARE[0]
     last, last_size, last_noise = black, 1.0, 0.0
     for a in range(0, len(places), FRAMES):
         part = slice(a, min(a + FRAMES, len(places)))
         hist, sizes, good = histograms([films[f][0][at : at + size] for f, at, size in places[part]])
+        bad[part] &= ~good
         dark = begins[part] & ~good
         hist[dark], sizes[dark] = black, 1.0
         shown = np.maximum.accumulate(np.where(good | dark, np.arange(1, len(good) + 1), 0))  # 0: what the part before ended with
@@ -649,7 +678,7 @@ def differences(films: list[tuple[bytes, Video]]) -> tuple[np.ndarray, np.ndarra
         noise[part] = np.maximum(own, np.append(last_noise, own[:-1]))
         last, last_size, last_noise = hist[-1], sizes[-1], own[-1]
     d[begins] = np.nan
-    return d, noise
+    return d, noise, bad
 
 
 def shots(d: np.ndarray, noise: np.ndarray) -> np.ndarray:
@@ -665,8 +694,8 @@ def shots(d: np.ndarray, noise: np.ndarray) -> np.ndarray:
     return np.isnan(d) | (d > usual + np.maximum(DEVIATIONS * spread, FLOOR + noise))
 
 
-def clips_of(files: list[bytes | None]) -> list[list[tuple[int, int, int, float, float]]]:
-    """(number, first frame, end frame, start, end in seconds) of the shots of each file."""
+def clips_of(files: list[bytes | None]) -> list[list[tuple[int, int, int, float, float, int]]]:
+    """(number, first frame, end frame, start, end in seconds, bad frames) of the shots of each file."""
     films: list[tuple[bytes, Video]] = []
     which: list[int] = []
     for k, raw in enumerate(files):
@@ -676,28 +705,29 @@ def clips_of(files: list[bytes | None]) -> list[list[tuple[int, int, int, float,
             continue
         films.append((raw, video))
         which.append(k)
-    begins = shots(*differences(films))
-    out: list[list[tuple[int, int, int, float, float]]] = [[] for _ in files]
+    d, noise, bad = differences(films)
+    begins, before = shots(d, noise), np.append(0, np.cumsum(bad)).tolist()
+    out: list[list[tuple[int, int, int, float, float, int]]] = [[] for _ in files]
     at = 0
     for k, (_, video) in zip(which, films, strict=True):
         n, s = len(video.frames), video.seconds_per_frame
         begin = np.flatnonzero(begins[at : at + n]).tolist()
+        out[k] = [(c, a, z, a * s, z * s, before[at + z] - before[at + a]) for c, (a, z) in enumerate(zip(begin, [*begin[1:], n], strict=True))] if n else []
         at += n
-        out[k] = [(c, a, z, a * s, z * s) for c, (a, z) in enumerate(zip(begin, [*begin[1:], n], strict=True))] if n else []
     return out
 
 
 def clips(media: DataFrame, column: str = "media", key: str = "media_id") -> DataFrame:
-    """(key, clip, first_frame, end_frame, start_s, end_s) of each shot of the files of a binary column."""
-    names = ("clip", "first_frame", "end_frame", "start_s", "end_s")
+    """(key, clip, first_frame, end_frame, start_s, end_s, bad_frames) of each shot of the files of a binary column."""
+    names = ("clip", "first_frame", "end_frame", "start_s", "end_s", "bad_frames")
     if key.lower() in names:
         raise ValueError(f"{key} is the name of a column of the result")
 
-    @F.arrow_udf("array<struct<clip: int, first_frame: int, end_frame: int, start_s: double, end_s: double>>")
+    @F.arrow_udf("array<struct<clip: int, first_frame: int, end_frame: int, start_s: double, end_s: double, bad_frames: int>>")
     def found(files: pa.Array) -> pa.Array:
         rows = clips_of([x.as_py() for x in files])
         flat = [r for x in rows for r in x]
-        cols = [pa.array([r[k] for r in flat], pa.int32() if k < 3 else pa.float64()) for k in range(len(names))]
+        cols = [pa.array([r[k] for r in flat], pa.float64() if k in (3, 4) else pa.int32()) for k in range(len(names))]
         at = np.cumsum([0, *map(len, rows)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(cols, names=names))
 

@@ -439,6 +439,88 @@ def test_hostile_files(spark):
         mjpeg.clips(df.withColumnRenamed("x", "clip"), key="clip")
 
 
+def frames_of(raw):
+    return [raw[a : a + n] for a, n in mjpeg.parse_avi(raw).frames]
+
+
+@pytest.mark.parametrize("failure", [MemoryError, IndexError, ValueError])
+@pytest.mark.parametrize("step", ["coefficients", "plain_coefficients", "_counted"])
+def test_failures_that_frames_did_not_cause_are_raised(monkeypatch, step, failure):
+    def fails(*_):
+        raise failure
+
+    raw = film()
+    if step == "plain_coefficients":
+        raw = mjpeg.write_avi(frames_of(raw)[6:18])  # too few to be decoded side by side
+    monkeypatch.setattr(mjpeg, step, fails)
+    with pytest.raises(failure):
+        mjpeg.clips_of([raw])
+
+
+def test_bad_frames_are_counted_in_their_clip(spark, monkeypatch):
+    frames = frames_of(film())
+    other = [f.replace(b"\xff\xc0", b"\xff\xc2") for f in frames]  # progressive
+    mixed = [other[0], *frames[1:5], frames[5][:-9], *frames[6:12], *frames[12:15], b"", *other[16:18], *frames[18:]]
+    beyond = bytearray(mjpeg.write_avi(frames))
+    beyond[-8:-4] = (1 << 30).to_bytes(4, "little")  # the place of the last frame
+    rows = [(0, mjpeg.write_avi(frames)), (1, mjpeg.write_avi(other)), (2, mjpeg.write_avi(mixed)), (3, bytes(beyond)), (4, mjpeg.write_avi([b""] * 3)), (5, mjpeg.write_avi(frames, index=False)[:-1000])]
+    found = defaultdict(list)
+    for r in sorted(mjpeg.clips(spark.createDataFrame(rows, "media_id long, media binary")).collect()):
+        found[r["media_id"]].append((r["first_frame"], r["end_frame"], r["bad_frames"]))
+    assert found[0] == [(0, 12, 0), (12, 20, 0)]
+    assert found[1] == [(0, 20, 20)]
+    assert found[2] == [(0, 12, 2), (12, 20, 2)]
+    assert found[3] == [(0, 12, 0), (12, 20, 1)]
+    assert found[4] == [(0, 3, 0)]
+    assert sum(r[2] for r in found[5]) == 1
+    whole = mjpeg.clips_of([raw for _, raw in rows])
+    monkeypatch.setattr(mjpeg, "FRAMES", 7)
+    assert mjpeg.clips_of([raw for _, raw in rows]) == whole
+
+
+def test_scans_that_lack_data_are_bad():
+    gray = np.random.default_rng(1).integers(60, 200, (64, 64))
+    whole = mjpeg.encode_jpeg(gray, restart=4)
+    seg = lambda mark, body: bytes([0xFF, mark]) + (len(body) + 2).to_bytes(2, "big") + body
+    table = bytes([2] + [0] * 15) + b"\0\1"  # the code of ones only is one, so that what comes beyond the end can be read
+    small = mjpeg._head(16, 16, [(1, 1)], False, 0)
+    at = small.index(b"\xff\xda")
+    head = lambda t: small[:at] + seg(0xC4, b"\0" + t) + seg(0xC4, b"\x10" + t) + small[at:]
+    assert mjpeg.decode_jpeg(head(table) + b"\xdb\x6f\xff\xd9").shape == (16, 16, 1)
+    cases = {
+        "whole": (whole, True),
+        "an interval less": (whole[: whole.index(b"\xff\xd3")], False),
+        "a whole one of its own table": (head(table) + b"\xdb\x6f\xff\xd9", True),
+        "a byte less": (head(table) + b"\xdb\xff\xd9", False),
+        "symbols less": (head(table[:-1]) + b"\xdb\x6f\xff\xd9", False),
+        "codes too many": (head(bytes([3] + [0] * 15) + b"\0\1\2") + b"\xdb\x6f\xff\xd9", False),
+    }
+    for name, (raw, fit) in cases.items():
+        for n in (1, 20):
+            assert mjpeg.histograms([raw] * n)[2].tolist() == [fit] * n, name
+        if not fit:
+            with pytest.raises(ValueError):
+                mjpeg.decode_jpeg(raw)
+    mixed = [cases["an interval less"][0], whole] * 12  # of the same header
+    assert mjpeg.histograms(mixed)[2].tolist() == [False, True] * 12
+    assert np.allclose(mjpeg.histograms(mixed)[0][1::2], mjpeg.histograms([whole])[0])
+
+
+def test_large_pictures_are_counted_in_strips(monkeypatch):
+    rng = np.random.default_rng(2)
+    planes = [rng.integers(0, 256, (96, 64)), *rng.integers(0, 256, (2, 48, 32))]
+    frames = [mjpeg.encode_jpeg(planes, sampling=[(2, 2), (1, 1), (1, 1)], restart=r) for r in (0, 1, 5)]
+    frames += [f.replace(bytes([0, 96, 0, 64]), bytes([0, 90, 0, 61])) for f in frames]
+    whole = mjpeg.histograms(frames)
+    monkeypatch.setattr(mjpeg, "BLOCKS", 20)
+    tops = []
+    real = mjpeg.samples
+    monkeypatch.setattr(mjpeg, "samples", lambda *a: (tops.append(x[1].shape[1]) or x for x in real(*a)))
+    for a, b in zip(mjpeg.histograms(frames), whole, strict=True):
+        assert np.allclose(a, b)
+    assert whole[2].all() and max(tops) == 16
+
+
 def test_registered_queries_and_pipeline(spark):
     import __spark_entry__
     import corpus_pipeline
