@@ -22,7 +22,8 @@ repeat are scored each; an empty table has no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ ROUNDS, STEP, BATCH = 3, 0.6, 8192
 CELL_BYTES = 1 << 24
 #: Words in buckets that a task gathers before it sends them to their cells.
 HELD = 1 << 22
+#: Words whose sums of rows fit a core's cache, sums of which no exponential leaves the range of floats, and how many words of a batch are few for a row.
+CHUNK, SAFE, FEW = 1 << 11, 80, 4
 #: Rows of a table that are averaged together, and what else a task gives: the words by bucket.
 BLOCK_ROWS, BUCKETS = 512, -1
 
@@ -103,19 +106,28 @@ def vocabulary(docs: DataFrame, most: int = OUTCOMES - OTHER, size: int | None =
 
 
 class Outcomes:
-    """From word hashes to outcomes."""
+    """From word hashes to outcomes. The last 16 bits of a hash give the only word it can be, but for words that share them with another."""
 
     def __init__(self, words: np.ndarray) -> None:
-        self.order = np.argsort(words)
-        self.sorted = words[self.order]
+        self.words, self.sorted = words, np.sort(words)
         self.first_other = OUTCOMES - OTHER
+        self.slots = np.zeros(1 << 16, np.int16)
+        self.slots[self._slot(words)] = np.arange(len(words))
+        self.late = np.flatnonzero(self.slots[self._slot(words)] != np.arange(len(words)))
+
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return (hashes & U64(0xFFFF)).view(np.int64)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        other = self.first_other + (hashes % U64(OTHER)).astype(np.int64)
-        if not len(self.sorted):
-            return other
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at], other)
+        out = self.first_other + (hashes & U64(OTHER - 1)).view(np.int64)  # a power of two
+        if not len(self.words):
+            return out
+        word = self.slots.take(self._slot(hashes))
+        np.copyto(out, word, where=self.words.take(word) == hashes)
+        for k in self.late:
+            out[hashes == self.words[k]] = k
+        return out
 
 
 def contexts(w: Words, outcome: np.ndarray) -> list[np.ndarray]:
@@ -133,28 +145,67 @@ def _row(parts: list[np.ndarray], salt: int, rows: int) -> np.ndarray:
     x = np.full(len(parts[0]), salt, np.uint64)
     for p in parts:
         x = x * U64(1_000_003) + p.astype(np.uint64)
-    return (mix(x) % U64(rows)).astype(np.int64)
+    return (mix(x) & U64(rows - 1)).view(np.int64)  # a power of two
+
+
+@cache
+def _rows_after_one(salt: int, rows: int, classes: int = 1) -> np.ndarray:
+    """Rows of a feature of an outcome, or of an outcome and a class."""
+    one, cls = np.divmod(np.arange((OUTCOMES + 1) * classes), classes)
+    return _row([one, cls] if classes > 1 else [one], salt, rows)
 
 
 def features(back: list[np.ndarray], cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the class table and of the word table, one row of numbers for each word."""
     one, two, three = back
-    zero = np.zeros_like(one)
-    a = [_row(p, s, CLASS_ROWS) for s, p in enumerate(([zero], [one], [two], [one, two], [one, three]), 1)]
-    b = [_row(p, s, WORD_ROWS) for s, p in enumerate(([zero, cls], [one, cls], [two, cls], [one, two, cls]), 11)]
-    return np.stack(a, 1), np.stack(b, 1)
+    single = [_rows_after_one(s, CLASS_ROWS) for s in (1, 2, 3)]
+    paired = [_rows_after_one(s, WORD_ROWS, CLASSES) for s in (11, 12, 13)]
+    a = [np.full(len(one), single[0][0]), single[1].take(one), single[2].take(two), *(_row(p, s, CLASS_ROWS) for s, p in ((4, [one, two]), (5, [one, three])))]
+    b = [paired[0].take(cls), paired[1].take(one * CLASSES + cls), paired[2].take(two * CLASSES + cls), _row([one, two, cls], 14, WORD_ROWS)]
+    return np.stack(a).T, np.stack(b).T
 
 
-def _softmax(table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, and the logs of the targets'."""
-    z = table.take(rows[:, 0], 0)
-    for j in range(1, rows.shape[1]):
+def _raised(z: np.ndarray, table: np.ndarray, rows: np.ndarray, safe: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What probabilities are in proportion to, and its totals, from the sums of the first rows, in place, and the other rows. Unless no sum is beyond SAFE, they are shifted first."""
+    for j in range(rows.shape[1]):
         z += table.take(rows[:, j], 0)
-    z -= z.max(1, keepdims=True)
+    if safe is None:
+        safe = max(z.max(initial=0), -z.min(initial=0)) <= SAFE
+    if not safe:
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    total = z.sum(1, keepdims=True)
-    z /= total
-    return z, np.log(np.maximum(z[np.arange(len(z)), target], 1e-30))
+    return z, np.einsum("ij->i", z)
+
+
+def _probabilities(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    out = np.empty((len(rows), table.shape[1]), np.float32)
+    for a in range(0, len(rows), CHUNK):
+        own = rows[a : a + CHUNK]
+        z, total = _raised(table.take(own[:, 0], 0), table, own[:, 1:])
+        np.divide(z, total[:, None], out=out[a : a + CHUNK])
+    return out
+
+
+def _softmax(table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities, and the logs of the targets'."""
+    p = _probabilities(table, rows)
+    return p, np.log(np.maximum(p[np.arange(len(p)), target], 1e-30))
+
+
+def _sums(gradient: np.ndarray, order: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of rows, which the order puts together: of those from each beginning to the next."""
+    size = np.diff(np.append(begin, len(order)))
+    total = gradient.take(order.take(begin), 0)
+    at = np.flatnonzero((size > 1) & (size <= FEW))
+    for k in range(1, FEW):
+        total[at] += gradient.take(order.take(begin.take(at) + k), 0)
+        at = at[size.take(at) > k + 1]
+    many = np.flatnonzero(size > FEW)
+    if len(many):
+        o = order if len(many) == len(size) else order[np.repeat(size > FEW, size)]
+        end = np.cumsum(size[many])
+        total[many] = np.add.reduceat(gradient.take(o, 0).view(np.complex64), end - size[many], axis=0).view(np.float32)  # two numbers at a time
+    return total
 
 
 def _update(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray, step: float) -> None:
@@ -162,24 +213,22 @@ def _update(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient:
     for j in range(rows.shape[1]):
         r = rows[:, j].astype(np.uint16)  # radix sort
         order = np.argsort(r, kind="stable")
-        r = r[order]
-        begin = np.flatnonzero(np.diff(r.astype(np.int32), prepend=-1))
-        total = np.add.reduceat(gradient.take(order, 0).view(np.complex64), begin, axis=0).view(np.float32)  # two numbers at a time
+        r = r.take(order)
+        begin = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        total = _sums(gradient, order, begin)
         at = r[begin]
         seen = squares.take(at) + np.einsum("ij,ij->i", total, total)
         squares[at] = seen
         total *= (step / np.sqrt(seen + 1e-6))[:, None]
-        table[at] = table.take(at, 0) - total
+        table[at] = np.subtract(table.take(at, 0), total, out=total)
 
 
-def steps(w: Words, outcomes: Outcomes) -> Iterator[tuple[np.ndarray, ...]]:
-    """Batches of (row of each word, class, word in class, features)."""
-    o = outcomes.of(w.hashes)
-    back, row = contexts(w, o), w.row_of_word()
-    for a in range(0, len(o), BATCH):
-        s = slice(a, a + BATCH)
-        cls = o[s] // PER_CLASS
-        yield row[s], cls, o[s] % PER_CLASS, *features([b[s] for b in back], cls)
+def steps(w: Words, outcome: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Batches of (last outcome of each word, class, word in class, features)."""
+    back = contexts(w, outcome)
+    for a in range(0, len(outcome), most):
+        cls, word = np.divmod(outcome[a : a + most], PER_CLASS)
+        yield back[0][a : a + most], cls, word, *features([b[a : a + most] for b in back], cls)
 
 
 def fresh() -> tuple[np.ndarray, np.ndarray]:
@@ -193,9 +242,9 @@ def train_on(columns: Iterator[pa.Array], outcomes: Outcomes, a: np.ndarray, b:
         for w in words_of(column):
             o = outcomes.of(w.hashes)
             rare += np.bincount(o[o >= outcomes.first_other] - outcomes.first_other, minlength=OTHER)
-            for _, cls, word, fa, fb in steps(w, outcomes):
+            for _, cls, word, fa, fb in steps(w, o, BATCH):
                 for table, squares, rows, target in ((a, seen[0], fa, cls), (b, seen[1], fb, word)):
-                    p, _ = _softmax(table, rows, target)
+                    p = _probabilities(table, rows)
                     p[np.arange(len(p)), target] -= 1
                     _update(table, squares, rows, p, step)
     return rare, seen
@@ -265,40 +314,66 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray
     return words, a, b, rare, cells, texts
 
 
+class Scorer:
+    """Log probabilities of outcomes. What a word's first two rows add up to, by its last word and class, is added up beforehand; a word's sums don't depend on the words around it."""
+
+    def __init__(self, outcomes: Outcomes, a: np.ndarray, b: np.ndarray) -> None:
+        one, cls = np.divmod(np.arange((OUTCOMES + 1) * CLASSES), CLASSES)
+        fa, fb = features([one] * 3, cls)
+        fa = fa[::CLASSES]
+        self.outcomes, self.tables = outcomes, (a, b)
+        self.first = a.take(fa[:, 0], 0) + a.take(fa[:, 1], 0), b.take(fb[:, 0], 0) + b.take(fb[:, 1], 0)
+        self.safe = [f.shape[1] * float(np.abs(t).max()) <= SAFE for f, t in ((fa, a), (fb, b))]
+
+    def of(self, column: pa.Array, rare: Callable[[Words, np.ndarray], None] = lambda w, o: None) -> tuple[np.ndarray, np.ndarray]:
+        """The words and the log probability of the outcomes of each text; rare gets the words and their outcomes."""
+        n, total = np.zeros(len(column), np.int64), np.zeros(len(column))
+        for w in words_of(column):
+            o = self.outcomes.of(w.hashes)
+            n[w.first : w.first + w.rows] = np.diff(w.word_at)
+            if len(o):
+                logs = np.concatenate([self._logs(*step) for step in steps(w, o, CHUNK)])
+                total[w.first : w.first + w.rows] = np.bincount(w.row_of_word(), logs, w.rows)
+            rare(w, o)
+        return n, total
+
+    def _logs(self, one: np.ndarray, cls: np.ndarray, word: np.ndarray, fa: np.ndarray, fb: np.ndarray) -> np.ndarray:
+        logs = np.zeros(len(one), np.float32)
+        for k, (at, rows, target) in enumerate(((one, fa, cls), (one * CLASSES + cls, fb, word))):
+            z, total = _raised(self.first[k].take(at, 0), self.tables[k], rows[:, 2:], self.safe[k])
+            logs += np.log(np.maximum(z[np.arange(len(z)), target] / total, 1e-30))
+        return logs
+
+
 def log_probabilities(column: pa.Array, outcomes: Outcomes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words and the log probability of the outcomes of each text."""
-    n, total = np.zeros(len(column), np.int64), np.zeros(len(column))
-    for w in words_of(column):
-        n[w.first : w.first + w.rows] = np.diff(w.word_at)
-        for row, cls, word, fa, fb in steps(w, outcomes):
-            logs = _softmax(a, fa, cls)[1] + _softmax(b, fb, word)[1]
-            total[w.first : w.first + w.rows] += np.bincount(row, logs, w.rows)
-    return n, total
+    return Scorer(outcomes, a, b).of(column)
 
 
-def rare_words(column: pa.Array, outcomes: Outcomes, first_row: int = 0) -> tuple[np.ndarray, ...]:
+def rare_words(w: Words, outcome: np.ndarray, first_row: int = 0) -> tuple[np.ndarray, ...]:
     """Of each word in a bucket its hash, its text, and 32 bits of the hashes of the word and of the contexts of one and two words."""
-    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros((0, 3), np.uint32))]
-    for w in words_of(column):
-        place = np.arange(len(w.hashes)) - np.repeat(w.word_at[:-1], np.diff(w.word_at))
-        one, two = (np.where(place >= k, np.roll(w.hashes, k), U64(0)) for k in (1, 2))
-        rare = np.flatnonzero(outcomes.of(w.hashes) >= outcomes.first_other)
-        both = mix(one[rare] * U64(1_000_003) + two[rare])
-        found.append((w.hashes[rare], (first_row + w.first + w.row_of_word()[rare]).astype(np.uint32), np.stack([x >> U64(32) for x in (w.hashes[rare], one[rare], both)], 1).astype(np.uint32)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    place = np.arange(len(w.hashes)) - np.repeat(w.word_at[:-1], np.diff(w.word_at))
+    rare = np.flatnonzero(outcome >= OUTCOMES - OTHER)
+    place, word = place[rare], w.hashes[rare]
+    one, two = (np.where(place >= k, w.hashes[np.maximum(rare - k, 0)], U64(0)) for k in (1, 2))
+    both = mix(one * U64(1_000_003) + two)
+    return word, (first_row + w.first + w.row_of_word()[rare]).astype(np.uint32), np.stack([x >> U64(32) for x in (word, one, both)]).astype(np.uint32)
 
 
 def in_cells(found: list[tuple[np.ndarray, ...]], cells: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
     """(cell, its texts, the number of its words in each, the words with their contexts) of each cell of some words."""
-    hashes, row, values = (np.concatenate(x) for x in zip(*found, strict=True))
-    cell = (hashes % U64(cells)).astype(np.int32)
+    if not any(len(f[0]) for f in found):
+        return
+    hashes, row, values = (np.concatenate(x, -1) for x in zip(*found, strict=True))
+    cell = (hashes % U64(cells)).astype(np.min_scalar_type(cells))  # radix sort, up to 2^16
     order = np.argsort(cell, kind="stable")
-    begin = np.flatnonzero(np.diff(cell[order], prepend=-1))
+    cell = cell[order]
+    begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     for a, z in zip(begin.tolist(), np.append(begin, len(order))[1:].tolist(), strict=True):
         o = order[a:z]
         own = row[o]
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        yield int(cell[o[0]]), own[first], np.diff(np.append(first, len(o))).astype(np.uint32), np.ascontiguousarray(values[o].T).tobytes()
+        yield int(cell[a]), own[first], np.diff(np.append(first, len(o))).astype(np.uint32), values.take(o, 1).tobytes()
 
 
 def _after(context: np.ndarray, word: np.ndarray, n: int, shorter: np.ndarray) -> np.ndarray:
@@ -381,16 +456,21 @@ def score(docs: DataFrame, model: tuple | None = None, text: str = "text", doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, a, b = shared.value
-        outcomes = Outcomes(words)
+        scorer = Scorer(Outcomes(words), a, b)
         batch, rows, held = TaskContext.get().partitionId() << 32, 0, 0
         found: list[tuple[np.ndarray, ...]] = []
         aside = lambda n: [pa.nulls(n, pa.binary())] * 3
+
+        def keep(w: Words, outcome: np.ndarray) -> None:
+            nonlocal held
+            found.append(rare_words(w, outcome, rows))
+            held += len(found[-1][0])
+
         for x in batches:
-            n, total = log_probabilities(x.column(1), outcomes, a, b)
-            found.append(rare_words(x.column(1), outcomes, rows))
+            n, total = scorer.of(x.column(1), keep)
             m = x.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1 - batch % cells), pa.int32()), pa.array(np.full(m, batch)), pa.array(np.arange(rows, rows + m), pa.int32()), x.column(0), pa.array(n), pa.array(total), *aside(m)], names=names)
-            rows, held = rows + m, held + len(found[-1][0])
+            rows += m
             if held >= HELD:
                 yield from sent(found, batch)
                 batch, rows, held, found = batch + 1, 0, 0, []
@@ -404,7 +484,8 @@ def score(docs: DataFrame, model: tuple | None = None, text: str = "text", doc_i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         outcomes = Outcomes(shared.value[0])
         for x in batches:
-            for cell, _, _, values in in_cells([rare_words(x.column(0), outcomes)], cells):
+            found = [rare_words(w, outcomes.of(w.hashes)) for w in words_of(x.column(0))]
+            for cell, _, _, values in in_cells(found, cells):
                 yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([values], pa.binary())], names=["cell", "words"])
 
     id_kind = to_arrow_type(slim.schema["doc_id"].dataType)

@@ -154,6 +154,55 @@ def test_language_model_grows_with_the_corpus(spark, monkeypatch):
     assert max(out[k] for k in (0, 1, 2, 3, 40, 41, 42, 43)) < 0.5 * min(out[k] for k in range(4, 40))
 
 
+def test_language_model_hashes_and_looks_up_each_word_once(monkeypatch):
+    texts = maxent_lm.pa.array(["a b c d", "a b", None, "e"])
+    of, words_of, looked_up, hashed = maxent_lm.Outcomes.of, maxent_lm.words_of, [], []
+    monkeypatch.setattr(maxent_lm.Outcomes, "of", lambda self, h: looked_up.append(len(h)) or of(self, h))
+    monkeypatch.setattr(maxent_lm, "words_of", lambda c: hashed.append(len(c)) or words_of(c))
+    outcomes, weights, kept = maxent_lm.Outcomes(np.array([3, 4], np.uint64)), maxent_lm.fresh(), []
+    rare, _ = maxent_lm.train_on(iter([texts]), outcomes, *weights, 0.5)
+    assert looked_up == [7] and hashed == [4] and rare.sum() == 7
+    n, _ = maxent_lm.Scorer(outcomes, *weights).of(texts, lambda w, o: kept.append(maxent_lm.rare_words(w, o, 10)))
+    assert looked_up == [7, 7] and hashed == [4, 4] and n.tolist() == [4, 2, 0, 1]
+    assert kept[0][1].tolist() == [10, 10, 10, 10, 11, 11, 13] and kept[0][2][1].tolist()[::4] == [0, 0]
+
+
+def test_outcomes_of_words_that_share_their_last_bits():
+    words = np.array([5, 5 + (1 << 20), 7, 0], np.uint64)
+    asked = np.array([7, 5 + (1 << 20), 5, 5 + (1 << 21), 0, 1 << 16], np.uint64)
+    assert maxent_lm.Outcomes(words).of(asked).tolist() == [2, 1, 0, 960 + 5, 3, 960]
+    assert maxent_lm.Outcomes(words[:0]).of(asked[:1]).tolist() == [960 + 7]
+
+
+@pytest.mark.parametrize("scale", [1, 40, 400])
+def test_probabilities_of_small_and_large_weights_wherever_a_text_stands(scale):
+    rng = np.random.default_rng(8)
+    a, b = ((scale * rng.normal(size=t.shape)).astype(np.float32) for t in maxent_lm.fresh())
+    outcomes, texts = maxent_lm.Outcomes(np.zeros(0, np.uint64)), [" ".join(f"w{k}" for k in rng.integers(0, 999, 700)) for _ in range(9)]
+    texts = maxent_lm.pa.array([t for x in texts for t in (x, texts[0])])
+    _, found = maxent_lm.log_probabilities(texts, outcomes, a, b)
+    assert len(set(found[1::2])) == 1
+    plain = np.zeros(len(texts))
+    for w in maxent_lm.words_of(texts):
+        for _, cls, word, *rows in maxent_lm.steps(w, outcomes.of(w.hashes), 10**6):
+            for table, at, target in zip((a, b), rows, (cls, word), strict=True):
+                z = table.astype(float)[at].sum(1)
+                z -= np.logaddexp.reduce(z, 1)[:, None]
+                assert np.allclose(maxent_lm._probabilities(table, at), np.exp(z), rtol=1e-2, atol=1e-4)
+                plain += np.bincount(w.row_of_word(), np.maximum(z[np.arange(len(z)), target], np.log(1e-30)), len(texts))
+    assert np.allclose(found, plain, rtol=1e-4)
+
+
+def test_sums_of_rows_that_few_and_many_words_have():
+    rng = np.random.default_rng(9)
+    for r in (rng.integers(0, 3000, 2000), np.minimum(rng.zipf(1.5, 2000), 400), np.zeros(50, int), np.arange(7)):
+        gradient, expected = rng.normal(size=(len(r), 32)).astype(np.float32), np.zeros((r.max() + 1, 32))
+        np.add.at(expected, r, gradient)
+        order = np.argsort(r, kind="stable")
+        at, begin = np.unique(r[order], return_index=True)
+        assert np.allclose(maxent_lm._sums(gradient, order, begin), expected[at], atol=1e-4)
+
+
 SCHEMAS = {"f": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer", "minimum": 1}}}}
 
 
