@@ -16,50 +16,55 @@ Make = Callable[..., Column]
 def _folded(f: Callable[[Column, Column], Column]) -> Make:
     """The elements of a list joined by f; null for a list without values."""
 
-    def make(a: Column) -> Column:
-        c = F.array_compact(a)
+    def make(c: Column) -> Column:
         return F.when(F.size(c) > 0, F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.get(c, F.lit(0)), f))
 
-    return make
+    return lambda a: scalar.once(F.array_compact(a), make)
 
 
-def _counts(a: Column) -> Column:
-    """(number, minus the place of the first, value) of each distinct value of a list."""
-    c = F.array_compact(a)
+def _counts(c: Column) -> Column:
+    """(number, minus the place of the first, value) of each distinct value of a list without nulls."""
     return F.transform(F.array_distinct(c), lambda v: F.struct(F.size(F.filter(c, lambda x: x == v)).alias("n"), (-F.array_position(c, v)).alias("at"), v.alias("v")))
 
 
 def list_entropy(a: Column) -> Column:
     """In bits, of the shares of the distinct values."""
-    n = F.size(F.array_compact(a)).cast("double")
-    return F.when(n > 0, F.aggregate(_counts(a), F.lit(0.0), lambda s, c: s - c["n"] / n * F.log2(c["n"] / n)))
+
+    def make(c: Column) -> Column:
+        n = F.size(c).cast("double")
+        return F.when(n > 0, F.aggregate(_counts(c), F.lit(0.0), lambda s, x: s - x["n"] / n * F.log2(x["n"] / n)))
+
+    return scalar.once(F.array_compact(a), make)
 
 
 def list_mode(a: Column) -> Column:
     """The most frequent value, the first of those."""
-    return F.array_max(F.transform(_counts(a), lambda c: F.struct(c["n"], c["at"], c["v"].alias("v"))))["v"]
+    return scalar.once(F.array_compact(a), lambda c: F.array_max(_counts(c)))["v"]
 
 
 def list_mad(a: Column) -> Column:
     """The median distance from the median."""
-    return scalar.list_median(F.transform(F.array_compact(a).cast("array<double>"), lambda x: F.abs(x - scalar.list_median(a))))
+    distances = lambda c: scalar.once(scalar.list_median(c), lambda m: F.transform(c, lambda x: F.abs(x - m)))
+    return scalar.list_median(scalar.once(F.array_compact(a).cast("array<double>"), distances))
 
 
 def list_sem(a: Column) -> Column:
-    return F.sqrt(scalar.list_var(a, 0)) / F.sqrt(F.size(F.array_compact(a)))
+    return scalar.once(a, lambda c: F.sqrt(scalar.list_var(c, 0)) / F.sqrt(F.size(F.array_compact(c))))
 
 
 def _moments(a: Column, finish: Callable[[Column, Column, Column, Column], Column]) -> Column:
     """finish(n, second, third, fourth): the number of values and the means of powers of their distances from the mean."""
-    c = F.array_compact(a).cast("array<double>")
-    n, mean = F.size(c).cast("double"), scalar.list_mean(a)
     start = F.struct(*[F.lit(0.0).alias(k) for k in "xyz"])
 
-    def step(s: Column, v: Column) -> Column:
-        d = v - mean
+    def step(s: Column, d: Column) -> Column:
         return F.struct((s["x"] + d * d).alias("x"), (s["y"] + d * d * d).alias("y"), (s["z"] + d * d * d * d).alias("z"))
 
-    return F.aggregate(c, start, step, lambda s: finish(n, s["x"] / n, s["y"] / n, s["z"] / n))
+    def make(c: Column) -> Column:
+        n = F.size(c).cast("double")
+        distances = scalar.once(scalar.list_mean(c), lambda mean: F.transform(c, lambda v: v - mean))
+        return F.aggregate(distances, start, step, lambda s: finish(n, s["x"] / n, s["y"] / n, s["z"] / n))
+
+    return scalar.once(F.array_compact(a).cast("array<double>"), make)
 
 
 def list_skewness(a: Column) -> Column:

@@ -229,3 +229,11 @@ def test_plans_need_no_task_for_all_rows(spark):
             if "Window [" in line and "partitionBy" not in line:
                 assert "range" in line or "RangeFrame" in line, (name, line)
     assert "SinglePartition" not in plan("group_quantiles_of_values")
+
+
+@pytest.mark.parametrize("name", ["sum", "avg", "median", "entropy", "mode", "mad", "sem", "skewness", "kurtosis", "kurtosis_pop", "bit_and", "bit_or", "bit_xor"])
+def test_aggregates_of_lists_compute_their_list_once(spark, name):
+    """A list mentioned within a function of elements is computed again for each of them."""
+    f = lk.LazyFrame({"k": [1], "v": [[3, 1, 4, 1, 5, None, 9, 2, 6]]}).select(getattr(fn, f"list_{name}")(col("v")).alias("x"))
+    assert f.sql_query().splitlines()[0].count("v#") == 1
+    assert rows(f)[0][0] is not None
