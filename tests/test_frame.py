@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import larkspur as lk
 from larkspur import col, dtypes, selectors
@@ -237,3 +238,19 @@ def test_aggregates_of_lists_compute_their_list_once(spark, name):
     f = lk.LazyFrame({"k": [1], "v": [[3, 1, 4, 1, 5, None, 9, 2, 6]]}).select(getattr(fn, f"list_{name}")(col("v")).alias("x"))
     assert f.sql_query().splitlines()[0].count("v#") == 1
     assert rows(f)[0][0] is not None
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_keys_with_many_rows_on_both_sides_are_joined_in_blocks(spark, monkeypatch, how):
+    from larkspur.operators import joins
+
+    monkeypatch.setattr(joins, "BLOCK", 10)
+    keys = lambda *counts: [k for k, n in counts for _ in range(n)]
+    a, b = keys((1, 95), (2, 3), (3, 200), (4, 1), (None, 30)), keys((1, 41), (2, 3), (3, 1), (5, 2), (None, 30))
+    left, right = (lk.LazyFrame({"k": ks, "v": range(len(ks))}) for ks in (a, b))
+    plain, spread = left.join(right, on="k", how=how), left.join(right, on="k", how=how, many=True)
+    assert spread.columns == plain.columns
+    assert sorted(rows(spread), key=repr) == sorted(rows(plain), key=repr)
+    # the 3895 pairs of key 1, 50 blocks of 100 or so, aren't one task's work
+    out = spread.to_spark().groupBy(F.spark_partition_id().alias("task"), *(["k"] if how != "outer" else [F.coalesce("k", "k_right").alias("k")])).count().filter("k = 1")
+    assert out.count() > 1
