@@ -182,4 +182,10 @@ def union_value(**member: Any) -> Any:
     return as_expr(value)._map(lambda a: F.struct(F.lit(name).alias("tag"), a.alias(name)))
 
 
-BUILDERS = {f.__name__: f for f in (enum_first, enum_last, enum_range_boundary, struct_concat, struct_extract_at, cast_to_type, histogram_exact, union_value)}
+def list_sum(a: Any) -> Expr:
+    from ..expr import as_expr
+
+    return as_expr(a).list.sum()
+
+
+BUILDERS = {f.__name__: f for f in (enum_first, enum_last, enum_range_boundary, struct_concat, struct_extract_at, cast_to_type, histogram_exact, union_value, list_sum)} | {"array_sum": list_sum}

@@ -3,6 +3,7 @@
 import math
 from datetime import date, datetime
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -254,3 +255,31 @@ def test_keys_with_many_rows_on_both_sides_are_joined_in_blocks(spark, monkeypat
     # the 3895 pairs of key 1, 50 blocks of 100 or so, aren't one task's work
     out = spread.to_spark().groupBy(F.spark_partition_id().alias("task"), *(["k"] if how != "outer" else [F.coalesce("k", "k_right").alias("k")])).count().filter("k = 1")
     assert out.count() > 1
+
+
+def test_rounding_of_doubles_moves_them_by_powers_of_ten(spark):
+    """As DuckDB does; by their decimal text 0.285 would be 0.29 and 56.20875 minus an ulp 56.2087."""
+    values = [0.285, 1.005, 2.675, 56.20875, math.nextafter(56.20875, 0), -56.20875, 2.5, 0.125, 1234.5, 1e308, math.inf, math.nan, None]
+    f = lk.LazyFrame({"i": range(len(values)), "v": values})
+    got = rows(f.select("i", *[col("v").round(d, mode=m).alias(f"{m}{k}") for m in ("half_away_from_zero", "half_to_even") for k, d in enumerate((0, 1, 2, 4, -2))]), "i")
+    con = duckdb.connect()
+    for row, v in zip(got, values, strict=True):
+        made = con.execute("SELECT " + ", ".join(f"{f}(CAST($v AS DOUBLE), {d})" for f in ("round", "round_even") for d in (0, 1, 2, 4, -2)), {"v": v}).fetchone()
+        assert repr(row[1:]) == repr(made), v
+
+
+def test_rounding_keeps_the_type(spark):
+    f = lk.LazyFrame({"k": [1.25, 1.25], "v": [2, 3]})
+    assert f.select(col("v").round(-1).alias("v"), col("k").cast("Float32").round(1).alias("k")).schema == {"v": dtypes.Int64, "k": dtypes.Float32}
+
+
+def test_sums_of_lists_of_floats_are_doubles(spark):
+    f = lk.LazyFrame({"v": [[16777216.0, 1.0, 1.0, 0.25]]}).select(col("v").cast(dtypes.List(dtypes.Float32)))
+    assert rows(f.select(col("v").list.sum().alias("x"), fn.list_sum(col("v")).alias("y"))) == [(16777218.25, 16777218.25)]
+
+
+def test_rounding_computes_windows_once(spark):
+    f = lk.LazyFrame({"k": [1, 1], "v": [0.25, 0.5]})
+    g = f.select(col("v").cum_sum().over("k", order_by="v").round(1).alias("x"))
+    assert g.to_spark()._jdf.queryExecution().optimizedPlan().toString().count("windowspecdefinition(") == 1
+    assert sorted(rows(g)) == [(0.2,), (0.8,)]
