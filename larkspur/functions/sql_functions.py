@@ -6,6 +6,7 @@ code; the few that Spark can't express are vectorised pandas functions over Arro
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import math
@@ -84,11 +85,12 @@ def __getattr__(name: str) -> Callable[..., Expr]:
 
 
 def _series(returns: str, f: Callable[..., Any]) -> Make:
-    """A function of values, over pandas columns; null where an argument is null."""
+    """A function of values, over pandas columns; null where an argument is null. Equal rows of a batch are computed once."""
 
     def values(*cs: pd.Series) -> pd.Series:
         missing = np.logical_or.reduce([c.isna().to_numpy() for c in cs])
-        return pd.Series([None if m else f(*row) for m, row in zip(missing, zip(*cs, strict=True), strict=True)], dtype=object)
+        once = functools.cache(f)
+        return pd.Series([None if m else once(*row) for m, row in zip(missing, zip(*cs, strict=True), strict=True)], dtype=object)
 
     def one(a: pd.Series) -> pd.Series:
         return values(a)

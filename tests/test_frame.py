@@ -283,3 +283,15 @@ def test_rounding_computes_windows_once(spark):
     g = f.select(col("v").cum_sum().over("k", order_by="v").round(1).alias("x"))
     assert g.to_spark()._jdf.queryExecution().optimizedPlan().toString().count("windowspecdefinition(") == 1
     assert sorted(rows(g)) == [(0.2,), (0.8,)]
+
+
+def test_python_functions_compute_equal_rows_of_a_batch_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def f(a, b):
+        seen.add(1)
+        return a + b
+
+    made = spark.range(0, 1000, 1, 1).select(fn._series("string", f)(F.lit("x"), F.when(F.col("id") % 4 != 0, (F.col("id") % 4).cast("string"))).alias("x"))
+    assert {(r.x, r["count"]) for r in made.groupBy("x").count().collect()} == {(None, 250), ("x1", 250), ("x2", 250), ("x3", 250)}
+    assert seen.value == 3
